@@ -3,6 +3,12 @@
 from __future__ import annotations
 
 from corpuskit.llm.exact_dedup import OP8_SQL, op8_exact_dedup
+from corpuskit.llm.pii import op2_pii
+from corpuskit.llm.secrets import op7_secrets
 
-QUERIES = {"op8_exact_dedup": op8_exact_dedup}
+QUERIES = {
+    "op2_pii": op2_pii,
+    "op7_secrets": op7_secrets,
+    "op8_exact_dedup": op8_exact_dedup,
+}
 ORACLES = {"op8_exact_dedup": OP8_SQL}
