@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from corpuskit.llm.exact_dedup import OP8_SQL, op8_exact_dedup
+from corpuskit.llm.packing import op9_packing
 from corpuskit.llm.pii import op2_pii
 from corpuskit.llm.secrets import op7_secrets
+from corpuskit.llm.token_files import op10_token_files
 
 QUERIES = {
     "op2_pii": op2_pii,
     "op7_secrets": op7_secrets,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_packing": op9_packing,
+    "op10_token_files": op10_token_files,
 }
 ORACLES = {"op8_exact_dedup": OP8_SQL}
