@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from corpuskit.llm.cap_filters import op6_cap_filters
 from corpuskit.llm.exact_dedup import OP8_SQL, op8_exact_dedup
+from corpuskit.llm.ngram_join import op3_ngram_jaccard
 from corpuskit.llm.packing import op9_packing
 from corpuskit.llm.pii import op2_pii
 from corpuskit.llm.secrets import op7_secrets
@@ -10,6 +12,8 @@ from corpuskit.llm.token_files import op10_token_files
 
 QUERIES = {
     "op2_pii": op2_pii,
+    "op3_ngram_jaccard": op3_ngram_jaccard,
+    "op6_cap_filters": op6_cap_filters,
     "op7_secrets": op7_secrets,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_packing": op9_packing,
