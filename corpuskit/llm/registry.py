@@ -4,15 +4,19 @@ from __future__ import annotations
 
 from corpuskit.llm.cap_filters import op6_cap_filters
 from corpuskit.llm.exact_dedup import OP8_SQL, op8_exact_dedup
+from corpuskit.llm.lm_scores import op5_lm_scores
 from corpuskit.llm.ngram_join import op3_ngram_jaccard
 from corpuskit.llm.packing import op9_packing
 from corpuskit.llm.pii import op2_pii
 from corpuskit.llm.secrets import op7_secrets
+from corpuskit.llm.sentence_pieces import op4_sentence_pieces
 from corpuskit.llm.token_files import op10_token_files
 
 QUERIES = {
     "op2_pii": op2_pii,
     "op3_ngram_jaccard": op3_ngram_jaccard,
+    "op4_sentence_pieces": op4_sentence_pieces,
+    "op5_lm_scores": op5_lm_scores,
     "op6_cap_filters": op6_cap_filters,
     "op7_secrets": op7_secrets,
     "op8_exact_dedup": op8_exact_dedup,
