@@ -8,6 +8,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark.sql import DataFrame, functions as F
+
+from corpuskit.plans.scratch import Scratch
 
 #: Bytes of text that a task holds decoded at a time; one longer text is held alone.
 SLICE_BYTES = 6_000_000
@@ -78,3 +81,14 @@ def list_array(values: np.ndarray, offsets: np.ndarray, kind: pa.DataType) -> pa
 
 def read(spark, sf_dir: str, table: str):
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+#: Ids up to which a table of dropped rows is broadcast; a larger one is a shuffled join.
+BROADCAST_IDS = 500_000
+
+
+def without(rows: DataFrame, dropped: DataFrame, id_col: str) -> DataFrame:
+    """The rows whose id is not among ``dropped``; rows with a null id stay."""
+    table = Scratch(rows.sparkSession, "dropped").table(dropped.where(F.col(id_col).isNotNull()).distinct(), "ids")
+    side = F.broadcast(table) if table.count() <= BROADCAST_IDS else table
+    return rows.join(side, id_col, "left_anti").select(*rows.columns)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from corpuskit.llm.cap_filters import op6_cap_filters
 from corpuskit.llm.exact_dedup import OP8_SQL, op8_exact_dedup
+from corpuskit.llm.language_id import language_of_pages, op1_language_id
 from corpuskit.llm.lm_scores import op5_lm_scores
 from corpuskit.llm.ngram_join import op3_ngram_jaccard
 from corpuskit.llm.packing import op9_packing
@@ -13,6 +14,8 @@ from corpuskit.llm.sentence_pieces import op4_sentence_pieces
 from corpuskit.llm.token_files import op10_token_files
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
+    "language_of_pages": language_of_pages,
     "op2_pii": op2_pii,
     "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_sentence_pieces": op4_sentence_pieces,
@@ -23,4 +26,14 @@ QUERIES = {
     "op9_packing": op9_packing,
     "op10_token_files": op10_token_files,
 }
+
+
+def pipeline(spark, sf_dir):
+    """The stages of corpus_pipeline.py over all documents."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES["pipeline"] = pipeline
 ORACLES = {"op8_exact_dedup": OP8_SQL}
