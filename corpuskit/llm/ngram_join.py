@@ -37,7 +37,7 @@ LAST_SHINGLES = 200_000
 #: Texts of one slice in which a shingle must occur to count as shared by many.
 SHARED_BY = 4
 #: Keys up to which a filter table is broadcast (8 bytes each); beyond it is a shuffled join.
-BROADCAST_KEYS = 500_000
+BROADCAST_KEYS = 2_000_000
 
 
 def shingle_sets(column: pa.Array, n: int) -> list[np.ndarray]:
@@ -202,7 +202,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     # 3. prefix index and its mixed lists
     chosen = able.join(comp.withColumnRenamed("node", "id"), "id", "left").select("id", "n", F.coalesce("component", "id").alias("comp"))
     prefix = scratch.table(prefixes(docs, n, num, den, last).join(chosen, "id"), "prefix")
-    entries = prefix.select("id", "n", "comp", F.posexplode("prefix").alias("pos", "shingle"))
+    entries = prefix.select("id", "n", "comp", F.size("prefix").alias("len"), F.posexplode("prefix").alias("pos", "shingle"))
     mixed = entries.groupBy("shingle").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("shingle")
     mixed = scratch.table(mixed, "mixed")
     lists = scratch.table(entries.join(_bounded(mixed, mixed.count()), "shingle"), "lists")
@@ -217,13 +217,20 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     small, large = f"greatest(exp(block * {width}) - 1, na * {num / den}D - 1)", f"least(exp((block + 1) * {width}) + 1, na * {den / num}D + 1)"
     before, after = f"na - {share} * (na + {small}) + 1", f"{large} - {share} * (na + {large}) + 1"
     reach = f"sequence(cast(floor(greatest(0D, pa - ({before})) / {step}) as long), cast(floor(greatest(0D, pa + ({after})) / {step}) as long))"
-    probe = lists.where("light").select("shingle", F.col("id").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("comp").alias("ca"), F.explode(F.array(block - 1, block, block + 1)).alias("block"))
+    probe = lists.where("light").select("shingle", F.col("id").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("comp").alias("ca"), F.col("len").alias("ka"), F.explode(F.array(block - 1, block, block + 1)).alias("block"))
     probe = probe.where(f"{small} <= {large}").withColumn("at", F.explode(F.expr(reach)))
-    held = lists.select("shingle", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("comp").alias("cb"), F.col("light").alias("lb"), block.alias("block"))
+    held = lists.select("shingle", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("comp").alias("cb"), F.col("len").alias("kb"), F.col("light").alias("lb"), block.alias("block"))
     held = held.withColumn("at", F.expr(f"cast(floor(pb / {step}) as long)"))
     upper = "least(pa, pb) + 1 + least(na - pa - 1, nb - pb - 1)"
     fits = f"ca <> cb and (not lb or a < b) and ({num + den}) * ({upper}) >= {num} * (na + nb) and least(na, nb) * {den} >= greatest(na, nb) * {num}"
-    pairs = scratch.table(probe.join(held, ["shingle", "block", "at"]).where(fits).select("a", "na", "b", "nb").distinct(), "pairs")
+    hits = probe.join(held, ["shingle", "block", "at"]).where(fits)
+    first = F.col("a") < F.col("b")
+    ends = [F.when(first if c == "a" else ~first, F.col(f"{x}a")).otherwise(F.col(f"{x}b")).alias(f"{x}{c}") for c in "ab" for x in ("n", "k")]
+    hits = hits.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), *ends)
+    # All that the sets share beyond their common prefix lies behind the prefix that ends first.
+    enough = f"({num + den}) * (c + greatest(na - ka, nb - kb)) >= {num} * (na + nb)"
+    pairs = hits.groupBy("a", "b", "na", "nb", "ka", "kb").agg(F.count("*").alias("c")).where(enough).select("a", "na", "b", "nb")
+    pairs = scratch.table(pairs, "pairs")
 
     # 4. leaders of the candidates first
     side = lambda c: lead.select(F.col("id").alias(c), F.col("d").alias(f"d{c}"), F.col("leader").alias(f"l{c}"), F.col("ln").alias(f"ln{c}"))
