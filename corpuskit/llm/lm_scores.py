@@ -19,6 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corpuskit.llm._text import gram_hashes, hash_words, read, slices, texts, words
+from corpuskit.llm.token_files import decode, encode
 from corpuskit.plans.scratch import Scratch
 
 ORDER = 2
@@ -30,26 +31,56 @@ UNSEEN = 0.5
 BLOCK_BYTES, PARTITION_GRAMS = 8_000_000, 1_000_000
 
 
+def pack_sorted(values: np.ndarray) -> bytes:
+    """Ascending 64-bit values as the first one and steps of six bytes, or of eight where one needs them."""
+    steps = np.diff(values)
+    if len(steps) and int(steps.max()) >= 1 << 48:
+        return values.astype("<u8").tobytes()
+    low = np.ascontiguousarray(steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6])
+    return values[:1].astype("<u8").tobytes() + low.tobytes()
+
+
+def unpack_sorted(raw: bytes, n: int) -> np.ndarray:
+    if len(raw) == 8 * n:
+        return np.frombuffer(raw, "<u8")
+    steps = np.zeros((n, 8), np.uint8)
+    steps[0] = np.frombuffer(raw[:8], np.uint8)
+    steps[1:, :6] = np.frombuffer(raw[8:], np.uint8).reshape(-1, 6)
+    return np.cumsum(steps.view("<u8").ravel(), dtype=np.uint64)
+
+
+def pack_counts(values: np.ndarray) -> bytes:
+    """One byte per count; those from 255 on follow in four."""
+    return np.minimum(values, 255).astype(np.uint8).tobytes() + values[values >= 255].astype("<u4").tobytes()
+
+
+def unpack_counts(raw: bytes, n: int) -> np.ndarray:
+    out = np.frombuffer(raw[:n], np.uint8).astype(np.int64)
+    out[out == 255] = np.frombuffer(raw[n:], "<u4")
+    return out
+
+
 def blocks(docs: DataFrame) -> DataFrame:
     """Documents in blocks: word codes into the block's distinct words, of which the hashes are kept."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        schema = pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("code", pa.binary()), ("words", pa.binary())])
+        schema = pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("control", pa.binary()), ("code", pa.binary()), ("words", pa.binary())])
         for seq, batch in enumerate(slices(batches, limit=BLOCK_BYTES)):
             code, offsets, vocab = words(texts(batch))
-            row = {"block": part << 32 | seq, "ids": batch.column("id").to_pylist(), "sizes": np.diff(offsets).tolist(), "code": code.astype("<u4").tobytes(), "words": hash_words(vocab).astype("<u8").tobytes()}
+            control, data = encode(code)
+            row = {"block": part << 32 | seq, "ids": batch.column("id").to_pylist(), "sizes": np.diff(offsets).tolist(), "control": control, "code": data, "words": hash_words(vocab).astype("<u8").tobytes()}
             yield pa.RecordBatch.from_pylist([row], schema)
 
-    return docs.select("id", "text").mapInArrow(run, "block long, ids array<long>, sizes array<long>, code binary, words binary")
+    return docs.select("id", "text").mapInArrow(run, "block long, ids array<long>, sizes array<long>, control binary, code binary, words binary")
 
 
 class Block:
     """One block's n-grams: for each order the distinct hashes, and for each word the n-gram that ends there."""
 
-    def __init__(self, sizes, code: bytes, words: bytes, order: int):
-        size = np.asarray(sizes, np.int64)
-        hashed = np.frombuffer(words, "<u8")[np.frombuffer(code, "<u4")]
+    def __init__(self, row: dict, order: int):
+        size = np.asarray(row["sizes"], np.int64)
+        hashed = np.frombuffer(row["words"], "<u8")[decode(row["control"], row["code"], int(size.sum()))]
         self.doc = np.repeat(np.arange(len(size)), size)
         self.pos = np.arange(len(self.doc)) - np.repeat(np.cumsum(size) - size, size)
         self.grams, self.at, self.counts = {}, {}, {}
@@ -92,36 +123,36 @@ def _shift(parts: int) -> np.uint64:
 
 
 def requests(table: DataFrame, order: int, parts: int) -> DataFrame:
-    """``(part, k, block, grams, counts)``: each block's distinct n-grams by partition of the hash range."""
-    schema = pa.schema([("part", pa.int32()), ("k", pa.int32()), ("block", pa.int64()), ("grams", pa.binary()), ("counts", pa.binary())])
+    """``(part, k, block, n, grams, counts)``: each block's distinct n-grams by partition of the hash range."""
+    schema = pa.schema([("part", pa.int32()), ("k", pa.int32()), ("block", pa.int64()), ("n", pa.int32()), ("grams", pa.binary()), ("counts", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in (r for i in range(batch.num_rows) for r in batch.slice(i, 1).to_pylist()):
-                b = Block(row["sizes"], row["code"], row["words"], order)
+                b = Block(row, order)
                 for k, grams in b.grams.items():
                     part = (grams >> _shift(parts)).astype(np.int64) if parts > 1 else np.zeros(len(grams), np.int64)
                     cuts = np.searchsorted(part, np.arange(parts + 1))
                     some = [(p, x, y) for p, (x, y) in enumerate(zip(cuts[:-1], cuts[1:])) if y > x]
-                    rows = [{"part": p, "k": k, "block": row["block"], "grams": grams[x:y].astype("<u8").tobytes(), "counts": b.counts[k][x:y].astype("<u4").tobytes()} for p, x, y in some]
+                    rows = [{"part": p, "k": k, "block": row["block"], "n": y - x, "grams": pack_sorted(grams[x:y]), "counts": pack_counts(b.counts[k][x:y])} for p, x, y in some]
                     yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return table.select("block", "sizes", "code", "words").mapInArrow(run, "part int, k int, block long, grams binary, counts binary")
+    return table.select("block", "sizes", "control", "code", "words").mapInArrow(run, "part int, k int, block long, n int, grams binary, counts binary")
 
 
 def answers(asked: DataFrame) -> DataFrame:
-    """``(block, k, part, totals)``: the counts over all blocks, in the order of each block's n-grams."""
+    """``(block, k, part, n, totals)``: the counts over all blocks, in the order of each block's n-grams."""
 
     def run(table: pa.Table) -> pa.Table:
-        grams = [np.frombuffer(x, "<u8") for x in table["grams"].to_pylist()]
+        sizes = table["n"].to_pylist()
+        grams = [unpack_sorted(x, n) for x, n in zip(table["grams"].to_pylist(), sizes)]
         _, inverse = np.unique(np.concatenate(grams), return_inverse=True)
-        counts = np.concatenate([np.frombuffer(x, "<u4") for x in table["counts"].to_pylist()])
-        total = np.bincount(inverse, weights=counts)[inverse].astype("<u4")
-        ends = np.cumsum([len(g) for g in grams])
-        out = [total[e - len(g) : e].tobytes() for g, e in zip(grams, ends)]
-        return pa.table({"block": table["block"], "k": table["k"], "part": table["part"], "totals": pa.array(out, pa.binary())})
+        counts = np.concatenate([unpack_counts(x, n) for x, n in zip(table["counts"].to_pylist(), sizes)])
+        total = np.bincount(inverse, weights=counts)[inverse].astype(np.int64)
+        out = [pack_counts(total[e - n : e]) for n, e in zip(sizes, np.cumsum(sizes))]
+        return pa.table({"block": table["block"], "k": table["k"], "part": table["part"], "n": table["n"], "totals": pa.array(out, pa.binary())})
 
-    return asked.groupBy("part", "k").applyInArrow(run, "block long, k int, part int, totals binary")
+    return asked.groupBy("part", "k").applyInArrow(run, "block long, k int, part int, n int, totals binary")
 
 
 def score_documents(docs: DataFrame, order: int = ORDER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -143,11 +174,11 @@ def score_documents(docs: DataFrame, order: int = ORDER, id_col: str = "doc_id",
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         row = left.to_pylist()[0]
-        b = Block(row["sizes"], row["code"], row["words"], order)
+        b = Block(row, order)
         replies: dict[int, list] = {k: [] for k in range(1, order + 1)}
-        for x in right.select(["k", "part", "totals"]).to_pylist():
-            replies[x["k"]].append((x["part"], np.frombuffer(x["totals"], "<u4")))
-        totals = {k: np.concatenate([t for _, t in sorted(v, key=lambda y: y[0])]) if v else np.empty(0, np.uint32) for k, v in replies.items()}
+        for x in right.select(["k", "part", "n", "totals"]).to_pylist():
+            replies[x["k"]].append((x["part"], unpack_counts(x["totals"], x["n"])))
+        totals = {k: np.concatenate([t for _, t in sorted(v, key=lambda y: y[0])]) if v else np.empty(0, np.int64) for k, v in replies.items()}
         score = b.scores(totals, total, len(row["ids"]))
         return pa.table({"id": pa.array(row["ids"], pa.int64()), "n_words": pa.array(row["sizes"], pa.int64()), "log10_score": score})
 

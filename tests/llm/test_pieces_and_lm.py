@@ -4,6 +4,7 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from corpuskit.llm import lm_scores
@@ -63,6 +64,16 @@ def test_agrees_with_the_library_on_unigram_scores():
         assert sum(map(scores.get, mine)) == pytest.approx(sum(map(scores.get, tok.encode(w).tokens)))
 
 
+def test_packed_arrays():
+    r = np.random.default_rng(2)
+    for high in (2**63, 2**50, 1000):
+        for n in (1, 2, 500):
+            x = np.sort(r.integers(0, high, n).astype(np.uint64))
+            assert (lm_scores.unpack_sorted(lm_scores.pack_sorted(x), n) == x).all()
+    c = np.array([1, 254, 255, 256, 70_000, 3])
+    assert (lm_scores.unpack_counts(lm_scores.pack_counts(c), 6) == c).all()
+
+
 def brute_scores(texts, order):
     docs = [(t or "").lower().split() for t in texts]
     grams = lambda w, k: [tuple(w[i : i + k]) for i in range(len(w) - k + 1)]
