@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from corpuskit.plans import graph_queries, table_queries, text_queries
+
+QUERIES = {**text_queries.QUERIES, **table_queries.QUERIES, **graph_queries.QUERIES}
+ORACLES = {**text_queries.ORACLES, **table_queries.ORACLES, **graph_queries.ORACLES}
