@@ -121,10 +121,14 @@ def identify(rows: DataFrame, model: TextModel) -> DataFrame:
     Declared languages are compared by their part before ``-`` or ``_`` in lower
     case; unknown and null ones are no evidence, nor is a null host. A text
     without a letter is ``und``, so are null and empty texts and those that no
-    known language explains; they and texts below LEAST_POSTERIOR are not kept. Repeated rows give repeated rows; an empty table gives none.
+    known language explains; they and texts below LEAST_POSTERIOR are not kept.
+    A model without languages tells nothing: languages are null and all rows kept. Repeated rows give repeated rows; an empty table gives none.
     """
     scratch = Scratch(rows.sparkSession, "language_id")
     names = list(model.languages)
+    if not names:
+        nothing = F.lit(None).cast("string")
+        return rows.select("id", nothing.alias("text_language"), nothing.alias("language"), F.lit(None).cast("double").alias("confidence"), F.lit(True).alias("kept"))
     scored = scratch.table(text_evidence(rows, model), "evidence")
     langs = [F.col("evidence")[k] for k in range(len(names))]
     unknown = F.col("evidence")[len(names)]

@@ -36,5 +36,8 @@ def test_stages_on_small_table(spark, tmp_path):
 def test_stages_on_empty_table(spark, tmp_path):
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     docs = spark.createDataFrame([], schema)
-    for _, stage in corpus_pipeline.STAGES[1:]:
+    for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, str(tmp_path)).count() == 0
+    bare = spark.createDataFrame([(1, "some text", None, None, None), (2, None, None, None, None)], schema)
+    for _, stage in corpus_pipeline.STAGES:
+        assert {x.doc_id for x in stage(spark, bare, str(tmp_path)).collect()} == {1, 2}
