@@ -106,11 +106,19 @@ def merge_duplicates(entities: DataFrame, edges: DataFrame, scope: str = "graph"
     return kept, merged
 
 
+def few(rows: DataFrame, most: int = 10_000) -> DataFrame:
+    """A table of at most ``most`` rows as a broadcast side; more are refused, as substring joins compare every row with it."""
+    if rows.count() > most:
+        raise ValueError(f"more than {most} rows; split the table")
+    return F.broadcast(rows)
+
+
 def search_entities(queries: DataFrame, entities: DataFrame, limit: int = 50) -> DataFrame:
     """``(query_id, id, name, confidence, rank)``: entities whose name holds the query, most confident first; ``entity_type`` limits if set."""
     if not 1 <= limit <= 50:
         raise ValueError("limit must lie in 1..50")
-    q = F.broadcast(queries.select("query_id", F.lower("query").alias("q"), F.col("entity_type").alias("t") if "entity_type" in queries.columns else F.lit(None).cast("string").alias("t")).limit(10_000))
+    kind = F.col("entity_type") if "entity_type" in queries.columns else F.lit(None).cast("string")
+    q = few(queries.select("query_id", F.lower("query").alias("q"), kind.alias("t")))
     hits = entities.join(q, F.lower("name").contains(F.col("q")) & (F.col("t").isNull() | (F.col("t") == F.col("entity_type"))))
     order = Window.partitionBy("query_id").orderBy(F.desc("confidence"), "id")
     return hits.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= limit).select("query_id", "id", "name", "confidence", "rank")
@@ -163,7 +171,7 @@ def focal_subgraph(names: DataFrame, entities: DataFrame, edges: DataFrame, dept
 
 def connected_documents(queries: DataFrame, entities: DataFrame, edges: DataFrame, depth: int = 2, limit: int = 50) -> DataFrame:
     """``(query_id, doc_id)``: documents of entities near those whose name holds the query's text."""
-    q = F.broadcast(queries.select("query_id", F.lower("query").alias("q")).limit(10_000))
+    q = few(queries.select("query_id", F.lower("query").alias("q")))
     seeds = entities.select("id", "name").join(q, F.lower("name").contains(F.col("q"))).select("query_id", "id")
     near = k_hop(seeds.select("id").distinct(), edges, depth)
     docs = seeds.withColumnRenamed("id", "seed").join(near, "seed").select("query_id", "id").distinct().join(entities.select("id", F.col("source_document_id").alias("doc_id")), "id").select("query_id", "doc_id").distinct()

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, functions as F
 
+from corpuskit.operators.graph import few
 from corpuskit.sources.files import is_wanted_path
 
 
@@ -15,10 +16,10 @@ def route_events(events: DataFrame, watched: DataFrame) -> DataFrame:
     Deletes act as they are. A move inside the watched folders is a rename, or a
     create if its source was no wanted file; a move out of them is a delete, one
     into them a create. Unwanted paths are left out. ``watched`` is a table of a
-    few folders, joined by prefix.
+    few folders, joined by prefix; more than 10 000 are refused.
     """
-    roots = F.broadcast(watched.select(F.regexp_replace("path", "/+$", "").alias("_root")).limit(10_000).agg(F.collect_set("_root").alias("_roots")))
-    rows = events.join(roots)
+    roots = few(watched.select(F.regexp_replace("path", "/+$", "").alias("_root")).distinct()).agg(F.collect_set("_root").alias("_roots"))
+    rows = events.join(F.broadcast(roots))
     inside = lambda c: F.exists("_roots", lambda r: F.col(c).startswith(F.concat(r, F.lit("/"))))
     moved = F.col("event_type") == "moved"
     source_ok = inside("path") & is_wanted_path(F.col("path"))
