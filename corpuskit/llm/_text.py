@@ -83,6 +83,28 @@ def read(spark, sf_dir: str, table: str):
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+    """The runs of equal keys of batches sorted by them; a run may span batches."""
+    held: list[pa.RecordBatch] = []
+
+    def whole() -> pa.RecordBatch:
+        out = held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        held.clear()
+        return out
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = np.column_stack([batch.column(c).to_numpy() for c in keys])
+        cuts = (np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist()
+        for a, b in zip([0, *cuts], [*cuts, len(key)]):
+            if held and (a or any(held[0].column(c)[0].as_py() != k for c, k in zip(keys, key[0].tolist()))):
+                yield whole()
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield whole()
+
+
 #: Ids up to which a table of dropped rows is broadcast; a larger one is a shuffled join.
 BROADCAST_IDS = 500_000
 

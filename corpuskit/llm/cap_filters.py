@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corpuskit.llm._text import read
+from corpuskit.llm._text import groups, read
 from corpuskit.operators.components import connected_components
 from corpuskit.plans.scratch import Scratch
 
@@ -146,29 +146,9 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec_id
     schema = pa.schema([("rep", pa.int64()), ("links", pa.int64()), ("low", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def groups() -> Iterator[pa.Table]:
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                key = np.column_stack([batch.column(c).to_numpy() for c in ("dim", "f", "b1", "b2")])
-                cuts = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
-                for a, b in zip([0, *cuts], [*cuts, len(key)]):
-                    if held and a == 0 and any(held[0].column(c)[0].as_py() != k for c, k in zip(("dim", "f", "b1", "b2"), key[0])):
-                        yield pa.Table.from_batches(held)
-                        held.clear()
-                    elif a:
-                        yield pa.Table.from_batches(held)
-                        held.clear()
-                    held.append(batch.slice(a, b - a))
-            if held:
-                yield pa.Table.from_batches(held)
-
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for group in groups():
-            if group.num_rows > 1:
-                batch = group.combine_chunks().to_batches()[0]
+        for batch in groups(batches, ("dim", "f", "b1", "b2")):
+            if batch.num_rows > 1:
                 ids, side = batch.column("rep").to_numpy(), batch.column("mine").to_numpy() != batch.column("b1").to_numpy()
                 lists = [np.asarray(x, np.int64) for x in batch.column("filters").to_numpy(zero_copy_only=False)]
                 links, low = _compare(ids, batch.column("m").to_numpy(), _rows(batch, "v"), lists, side, batch.column("f")[0].as_py(), cosine)

@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from corpuskit.llm._text import gram_hashes, hash_words, mix, read, slices, texts, words
+from corpuskit.llm._text import gram_hashes, groups, hash_words, mix, read, slices, texts, words
 from corpuskit.operators.components import connected_components
 from corpuskit.plans.scratch import Scratch
 
@@ -36,6 +36,8 @@ LEADERS = 3
 LAST_SHINGLES = 200_000
 #: Texts of one slice in which a shingle must occur to count as shared by many.
 SHARED_BY = 4
+#: Sets of one block of a list; longer lists are compared block by block.
+BLOCK = 1024
 #: Keys up to which a filter table is broadcast (8 bytes each); beyond it is a shuffled join.
 BROADCAST_KEYS = 2_000_000
 
@@ -151,6 +153,46 @@ def verify(docs: DataFrame, pairs: DataFrame, n: int, scratch: Scratch, name: st
     return both.select("a", "na", "b", "nb", F.size(F.array_intersect("sa", "sb")).cast("long").alias("inter"))
 
 
+def _promising(num: int, den: int):
+    """Compares the probing with the held sets of each block and gives the pairs whose common prefix is long enough."""
+    schema = pa.schema([(c, pa.int64()) for c in ("a", "na", "b", "nb")])
+
+    def compare(batch: pa.RecordBatch) -> pa.RecordBatch:
+        col = {c: batch.column(c).to_numpy().astype(np.int64) for c in ("id", "n", "comp", "len", "role")}
+        here = batch.column("shingle")[0].as_py()
+        listed = batch.column("listed")
+        flat, offsets = listed.flatten(), listed.offsets.to_numpy().astype(np.int64)
+        code, token = np.unique(flat.field("shingle").to_numpy(), return_inverse=True)
+        row = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
+        has = np.zeros((batch.num_rows, len(code)), np.float32)
+        has[row, token] = 1
+        light = np.zeros(batch.num_rows, bool)
+        at_here = flat.field("shingle").to_numpy() == here
+        light[row[at_here]] = flat.field("light").to_numpy(zero_copy_only=False)[at_here]
+        p, h = np.flatnonzero(col["role"] == 1), np.flatnonzero(col["role"] == 0)
+        na, nb, ka, kb = col["n"][p][:, None], col["n"][h][None, :], col["len"][p][:, None], col["len"][h][None, :]
+        common, before = has[p] @ has[h].T, has[p][:, code < here] @ has[h][:, code < here].T
+        # All that two sets share beyond their common prefix lies behind the prefix that ends first.
+        good = (num + den) * (common + np.maximum(na - ka, nb - kb)) >= num * (na + nb)
+        good &= (before == 0) & (np.minimum(na, nb) * den >= np.maximum(na, nb) * num)
+        good &= col["comp"][p][:, None] != col["comp"][h][None, :]
+        good &= ~light[h][None, :] | (col["id"][p][:, None] < col["id"][h][None, :])
+        i, j = np.nonzero(good)
+        a, b = p[i], h[j]
+        swap = col["id"][a] > col["id"][b]
+        a, b = np.where(swap, b, a), np.where(swap, a, b)
+        return pa.RecordBatch.from_arrays([pa.array(col[c][x]) for x in (a, b) for c in ("id", "n")], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in groups(batches, ("shingle", "block", "at", "p", "h")):
+            if batch.num_rows > 1:
+                out = compare(batch)
+                if out.num_rows:
+                    yield out
+
+    return run
+
+
 def _linked(num: int, den: int) -> Column:
     return F.expr(f"{den} * inter >= {num} * (na + nb - inter)")
 
@@ -217,20 +259,23 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     small, large = f"greatest(exp(block * {width}) - 1, na * {num / den}D - 1)", f"least(exp((block + 1) * {width}) + 1, na * {den / num}D + 1)"
     before, after = f"na - {share} * (na + {small}) + 1", f"{large} - {share} * (na + {large}) + 1"
     reach = f"sequence(cast(floor(greatest(0D, pa - ({before})) / {step}) as long), cast(floor(greatest(0D, pa + ({after})) / {step}) as long))"
-    probe = lists.where("light").select("shingle", F.col("id").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("comp").alias("ca"), F.col("len").alias("ka"), F.explode(F.array(block - 1, block, block + 1)).alias("block"))
-    probe = probe.where(f"{small} <= {large}").withColumn("at", F.explode(F.expr(reach)))
-    held = lists.select("shingle", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("comp").alias("cb"), F.col("len").alias("kb"), F.col("light").alias("lb"), block.alias("block"))
-    held = held.withColumn("at", F.expr(f"cast(floor(pb / {step}) as long)"))
-    upper = "least(pa, pb) + 1 + least(na - pa - 1, nb - pb - 1)"
-    fits = f"ca <> cb and (not lb or a < b) and ({num + den}) * ({upper}) >= {num} * (na + nb) and least(na, nb) * {den} >= greatest(na, nb) * {num}"
-    hits = probe.join(held, ["shingle", "block", "at"]).where(fits)
-    first = F.col("a") < F.col("b")
-    ends = [F.when(first if c == "a" else ~first, F.col(f"{x}a")).otherwise(F.col(f"{x}b")).alias(f"{x}{c}") for c in "ab" for x in ("n", "k")]
-    hits = hits.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), *ends)
-    # All that the sets share beyond their common prefix lies behind the prefix that ends first.
-    enough = f"({num + den}) * (c + greatest(na - ka, nb - kb)) >= {num} * (na + nb)"
-    pairs = hits.groupBy("a", "b", "na", "nb", "ka", "kb").agg(F.count("*").alias("c")).where(enough).select("a", "na", "b", "nb")
-    pairs = scratch.table(pairs, "pairs")
+    keys = ["shingle", "block", "at"]
+    probe = lists.where("light").select("shingle", "id", "n", "pos", F.explode(F.array(block - 1, block, block + 1)).alias("block"))
+    probe = probe.select("shingle", "id", F.col("n").alias("na"), F.col("pos").alias("pa"), "block").where(f"{small} <= {large}").select("shingle", "id", "block", F.explode(F.expr(reach)).alias("at"))
+    held = lists.select("shingle", "id", F.col("pos").alias("pb"), block.alias("block")).select("shingle", "id", "block", F.expr(f"cast(floor(pb / {step}) as long)").alias("at"))
+    size = held.groupBy(*keys).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("hs"))
+    size = probe.groupBy(*keys).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("ps")).join(size, keys)
+    # A set's listed shingles go along: common ones are counted where two sets meet first, so only promising pairs leave a task.
+    sets_listed = lists.groupBy("id", "n", "comp", "len").agg(F.sort_array(F.collect_list(F.struct("shingle", "light"))).alias("listed"))
+
+    def dealt(side: DataFrame, role: int, own: str, other: str) -> DataFrame:
+        rows = side.join(size, keys).withColumn("mine", F.pmod(F.xxhash64("id"), F.col(own)).cast("int")).withColumn("their", F.explode(F.expr(f"sequence(0, {other} - 1)")))
+        lane = [F.col("mine" if role else "their").alias("p"), F.col("their" if role else "mine").alias("h")]
+        return rows.select(*keys, *lane, F.lit(role).alias("role"), "id")
+
+    meet = dealt(probe, 1, "ps", "hs").unionByName(dealt(held, 0, "hs", "ps")).join(sets_listed, "id")
+    meet = meet.repartition(*keys, "p", "h").sortWithinPartitions(*keys, "p", "h")
+    pairs = scratch.table(meet.mapInArrow(_promising(num, den), "a long, na long, b long, nb long").distinct(), "pairs")
 
     # 4. leaders of the candidates first
     side = lambda c: lead.select(F.col("id").alias(c), F.col("d").alias(f"d{c}"), F.col("leader").alias(f"l{c}"), F.col("ln").alias(f"ln{c}"))
