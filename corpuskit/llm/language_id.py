@@ -36,16 +36,23 @@ UNKNOWN_PRIOR, LEAST_POSTERIOR = 0.001, 0.5
 #: The share of the uniform distribution in each language's.
 UNIFORM = 0.1
 UNKNOWN = "und"
-_LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint32)
+_LOWER = np.array([32 if 9 <= c <= 13 else c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint32)
+#: What a byte is: 1 part of a letter, 2 white space, 0 anything else.
+_KIND = np.array([2 if 9 <= c <= 13 or c == 32 else int(c >= 128 or chr(c).isalpha()) for c in range(256)], np.uint8)
 
 
 def _trigrams(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bucket of the trigram at each byte, and for each text the first and the end of its trigrams."""
+    """Bucket of the trigram at each byte, and for each text the first and the end of its trigrams.
+
+    Trigrams with other bytes than of letters and white space tell no language: they get BUCKETS.
+    """
     column = column.cast(pa.large_string())
     size = pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
-    raw = _LOWER[np.frombuffer("".join(column.to_pylist()).encode(), np.uint8)]
-    raw = np.concatenate([raw, np.zeros(2, np.uint32)])
+    plain = np.frombuffer("".join(column.to_pylist()).encode() + b"  ", np.uint8)
+    raw, kind = _LOWER[plain], _KIND[plain]
     bucket = ((raw[:-2] << np.uint32(16) | raw[1:-1] << np.uint32(8) | raw[2:]) * np.uint32(2654435761)) >> np.uint32(16)
+    told = (kind[:-2] > 0) & (kind[1:-1] > 0) & (kind[2:] > 0) & ((kind[:-2] & kind[1:-1] & kind[2:]) != 2)
+    bucket[~told] = BUCKETS
     first = np.cumsum(size) - size
     return bucket, first, first + np.maximum(size - 2, 0)
 
@@ -60,10 +67,11 @@ class TextModel:
     def evidence(self, column: pa.Array) -> np.ndarray:
         """The tempered log likelihoods ``(n, languages + 1)``; zeros for texts without a trigram."""
         bucket, first, end = _trigrams(column)
-        n = end - first
+        told = np.concatenate([[0], np.cumsum(bucket < BUCKETS)])
+        n = told[end] - told[first]
         out = np.zeros((len(first), len(self.table)))
         for k, row in enumerate(self.table):
-            total = np.concatenate([[0.0], np.cumsum(row[bucket], dtype=np.float64)])
+            total = np.concatenate([[0.0], np.cumsum(np.append(row, 0)[bucket], dtype=np.float64)])
             out[:, k] = total[end] - total[first]
         return out / np.maximum(n, 1)[:, None] * (n / (1 + n / EVIDENCE))[:, None]
 
@@ -82,7 +90,8 @@ def fit(labelled: DataFrame, text_col: str, lang_col: str, id_col: str) -> TextM
             for lang in np.unique(langs).tolist():
                 mine = np.flatnonzero(langs == lang)
                 got = [bucket[first[i] : end[i]] for i in mine]
-                found, n = np.unique(np.concatenate(got), return_counts=True)
+                got = np.concatenate(got)
+                found, n = np.unique(got[got < BUCKETS], return_counts=True)
                 yield pa.RecordBatch.from_pydict({"lang": [lang] * len(found), "bucket": pa.array(found, pa.int32()), "n": pa.array(n, pa.int64())})
 
     counts = rows.select("text", "lang").mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
