@@ -205,5 +205,8 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9
     "rrf_hybrid": W.sql(_HYBRID + "SELECT query_id, chunk_id, keyword_rank, semantic_rank, round(rrf_score, 9) AS rrf_score, rank FROM hy WHERE rank <= 20", "v_queries", "v_postings"),
     "rerank_blend": W.sql(_RERANK + "SELECT query_id, chunk_id, round(cos, 6) AS cos, round(rerank_score, 6) AS rerank_score, rerank_rank FROM rn", "v_queries", "v_postings"),
     "context_budget": W.sql(_RERANK + _BUDGET, "v_queries", "v_postings"),
+    "context_blocks": W.sql(_RERANK + _BUDGET.split("SELECT query_id, chunk_id, position, CAST")[0] + """, bk AS (SELECT query_id, string_agg('[' || position || '] Source: ' || file_path || ' (chunk ' || chunk_index || ')' || chr(10) || content, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY position) AS block
+  FROM bs JOIN v_chunks USING (chunk_id) JOIN v_docs USING (doc_id) WHERE position <= 5 AND chars <= 6000 GROUP BY 1)
+SELECT query_id, sha256(block) AS block_hash, length(block) AS n FROM bk""", "v_queries", "v_postings", "v_docs"),
     "answer_sources": W.sql(_HYBRID + _SOURCES, "v_queries", "v_postings", "v_docs"),
 }
