@@ -159,22 +159,17 @@ def _promising(num: int, den: int):
 
     def compare(batch: pa.RecordBatch) -> pa.RecordBatch:
         col = {c: batch.column(c).to_numpy().astype(np.int64) for c in ("id", "n", "comp", "len", "role")}
-        here = batch.column("shingle")[0].as_py()
+        light = batch.column("light").to_numpy(zero_copy_only=False)
         listed = batch.column("listed")
-        flat, offsets = listed.flatten(), listed.offsets.to_numpy().astype(np.int64)
-        code, token = np.unique(flat.field("shingle").to_numpy(), return_inverse=True)
-        row = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
+        code, token = np.unique(listed.flatten().to_numpy(), return_inverse=True)
         has = np.zeros((batch.num_rows, len(code)), np.float32)
-        has[row, token] = 1
-        light = np.zeros(batch.num_rows, bool)
-        at_here = flat.field("shingle").to_numpy() == here
-        light[row[at_here]] = flat.field("light").to_numpy(zero_copy_only=False)[at_here]
+        np.add.at(has, (np.repeat(np.arange(batch.num_rows), np.diff(listed.offsets.to_numpy())), token), 1)
         p, h = np.flatnonzero(col["role"] == 1), np.flatnonzero(col["role"] == 0)
         na, nb, ka, kb = col["n"][p][:, None], col["n"][h][None, :], col["len"][p][:, None], col["len"][h][None, :]
-        common, before = has[p] @ has[h].T, has[p][:, code < here] @ has[h][:, code < here].T
+        common = has[p] @ has[h].T
         # All that two sets share beyond their common prefix lies behind the prefix that ends first.
         good = (num + den) * (common + np.maximum(na - ka, nb - kb)) >= num * (na + nb)
-        good &= (before == 0) & (np.minimum(na, nb) * den >= np.maximum(na, nb) * num)
+        good &= np.minimum(na, nb) * den >= np.maximum(na, nb) * num
         good &= col["comp"][p][:, None] != col["comp"][h][None, :]
         good &= ~light[h][None, :] | (col["id"][p][:, None] < col["id"][h][None, :])
         i, j = np.nonzero(good)
@@ -260,18 +255,20 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     before, after = f"na - {share} * (na + {small}) + 1", f"{large} - {share} * (na + {large}) + 1"
     reach = f"sequence(cast(floor(greatest(0D, pa - ({before})) / {step}) as long), cast(floor(greatest(0D, pa + ({after})) / {step}) as long))"
     keys = ["shingle", "block", "at"]
-    probe = lists.where("light").select("shingle", "id", "n", "pos", F.explode(F.array(block - 1, block, block + 1)).alias("block"))
-    probe = probe.select("shingle", "id", F.col("n").alias("na"), F.col("pos").alias("pa"), "block").where(f"{small} <= {large}").select("shingle", "id", "block", F.explode(F.expr(reach)).alias("at"))
-    held = lists.select("shingle", "id", F.col("pos").alias("pb"), block.alias("block")).select("shingle", "id", "block", F.expr(f"cast(floor(pb / {step}) as long)").alias("at"))
+    entry = ["id", "n", "comp", "len", "light"]
+    probe = lists.where("light").select("shingle", *entry, F.col("n").alias("na"), F.col("pos").alias("pa"), F.explode(F.array(block - 1, block, block + 1)).alias("block"))
+    probe = probe.where(f"{small} <= {large}").select("shingle", *entry, "block", F.explode(F.expr(reach)).alias("at"))
+    held = lists.select("shingle", *entry, F.col("pos").alias("pb"), block.alias("block")).select("shingle", *entry, "block", F.expr(f"cast(floor(pb / {step}) as long)").alias("at"))
     size = held.groupBy(*keys).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("hs"))
     size = probe.groupBy(*keys).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("ps")).join(size, keys)
-    # A set's listed shingles go along: common ones are counted where two sets meet first, so only promising pairs leave a task.
-    sets_listed = lists.groupBy("id", "n", "comp", "len").agg(F.sort_array(F.collect_list(F.struct("shingle", "light"))).alias("listed"))
+    # A set's listed shingles go along, as 32 bits each: common ones are counted where two sets meet, so only promising
+    # pairs leave a task. Two shingles of equal bits can only add to the count, so no pair is lost.
+    sets_listed = lists.groupBy("id").agg(F.collect_list(F.hash("shingle")).alias("listed"))
 
     def dealt(side: DataFrame, role: int, own: str, other: str) -> DataFrame:
         rows = side.join(size, keys).withColumn("mine", F.pmod(F.xxhash64("id"), F.col(own)).cast("int")).withColumn("their", F.explode(F.expr(f"sequence(0, {other} - 1)")))
         lane = [F.col("mine" if role else "their").alias("p"), F.col("their" if role else "mine").alias("h")]
-        return rows.select(*keys, *lane, F.lit(role).alias("role"), "id")
+        return rows.select(*keys, *lane, F.lit(role).alias("role"), *entry)
 
     meet = dealt(probe, 1, "ps", "hs").unionByName(dealt(held, 0, "hs", "ps")).join(sets_listed, "id")
     meet = meet.repartition(*keys, "p", "h").sortWithinPartitions(*keys, "p", "h")
