@@ -51,7 +51,7 @@ def rename_paths(spark, d):
 def delete_cascade(spark, d):
     docs = W.documents(spark, d)
     gone = A.in_folder(docs, "/ws/src3").select("doc_id")
-    left = A.delete_documents(gone, {"documents": docs, "chunks": W.chunks(spark, d)})
+    left = A.delete_documents(gone, {"documents": docs, "chunks": W.cut_documents(spark, d)})
     n = left["chunks"].groupBy("doc_id").agg(F.count("*").alias("n_chunks"))
     return left["documents"].select("doc_id", "workspace_path").join(n, "doc_id", "left")
 
@@ -82,7 +82,7 @@ ok AS (SELECT '/ws/u' || c_custkey AS file_path FROM customer WHERE c_custkey %
 
 def dashboard_stats(spark, d):
     errors = _errors(spark, d).join(_indexed(spark, d), "file_path", "left_anti")
-    return H.dashboard_stats(W.documents(spark, d), W.chunks(spark, d), errors)
+    return H.dashboard_stats(W.documents(spark, d), W.cut_documents(spark, d), errors)
 
 
 def recent_files(spark, d):

@@ -14,11 +14,11 @@ def _list(words) -> str:
 
 
 def chunk_documents(spark, d):
-    return W.chunks(spark, d).select("doc_id", "chunk_index", "content", "char_start", "char_end")
+    return W.cut_documents(spark, d).select("doc_id", "chunk_index", "content", "char_start", "char_end")
 
 
 def chunk_stats(spark, d):
-    joined = W.chunks(spark, d).join(W.table(spark, d, "documents").select("doc_id", "lang"), "doc_id")
+    joined = W.cut_documents(spark, d).join(W.table(spark, d, "documents").select("doc_id", "lang"), "doc_id")
     n = F.length("content")
     return joined.groupBy("lang").agg(F.count("*").alias("n_chunks"), F.min(n).cast("long").alias("shortest"), F.max(n).cast("long").alias("longest"), F.sum(n).alias("chars"))
 
@@ -70,18 +70,18 @@ _ABBR_KEEP = f"SELECT * FROM a WHERE NOT list_contains({_list(K.EXPANSIONS)}, ab
 
 
 def postings(spark, d):
-    return W.postings(spark, d).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"), F.max("tf").alias("max_tf"))
+    return keyword.build_postings(W.cut_documents(spark, d), stem=False).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"), F.max("tf").alias("max_tf"))
 
 
 def keyword_topk(spark, d):
     """The best ten chunks of each query by BM25, without stemming so that SQL can follow."""
-    hits = keyword.keyword_search(keyword.query_phrases(W.queries(spark, d), stem=False), W.postings(spark, d), 10)
+    hits = keyword.keyword_search(keyword.query_phrases(W.queries(spark, d), stem=False), W.postings(W.cut_documents(spark, d)), 10)
     return hits.select("query_id", "chunk_id", F.round("bm25", 6).alias("bm25"), F.round(keyword.keyword_score(F.col("bm25")), 6).alias("score"), "rank")
 
 
 def keyword_topk_stemmed(spark, d):
     """The same with Porter stems, over a stemmed index."""
-    hits = keyword.keyword_search(keyword.query_phrases(W.queries(spark, d)), W.postings(spark, d, stem=True), 10)
+    hits = keyword.keyword_search(keyword.query_phrases(W.queries(spark, d)), W.postings(W.cut_documents(spark, d), stem=True), 10)
     return hits.select("query_id", "chunk_id", F.round("bm25", 6).alias("bm25"), "rank")
 
 
@@ -104,11 +104,11 @@ def vector_topk(spark, d):
     return V.vector_topk(asked, vectors.withColumnRenamed("vec_id", "chunk_id"), 10).select("query_id", F.col("chunk_id").alias("vec_id"), F.round("score", 6).alias("score"), "rank")
 
 
-def _hybrid(spark, d):
+def _hybrid(spark, d, chunks=None):
     v = W.table(spark, d, "embeddings")
     asked = W.queries(spark, d)
     vectors = asked.join(v.select((F.col("vec_id") / 10).cast("long").alias("query_id"), "vec_id", "embedding").where("vec_id % 10 = 0"), "query_id")
-    kw = keyword.keyword_search(keyword.query_phrases(asked, stem=False), W.postings(spark, d), 30)
+    kw = keyword.keyword_search(keyword.query_phrases(asked, stem=False), W.postings(W.cut_documents(spark, d) if chunks is None else chunks), 30)
     sem = V.vector_topk(vectors, v.withColumnRenamed("vec_id", "chunk_id"), 30).withColumn("chunk_id", F.concat(F.col("chunk_id").cast("string"), F.lit(":0")))
     return search.rrf_merge(kw, sem, 0.3, 0.7)
 
@@ -130,9 +130,9 @@ hy AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(rrf_sco
 )
 
 
-def _reranked(spark, d):
-    top = _hybrid(spark, d).where("rank <= 20")
-    chunks = W.chunks(spark, d)
+def _reranked(spark, d, chunks=None):
+    chunks = W.chunks(spark, d) if chunks is None else chunks
+    top = _hybrid(spark, d, chunks).where("rank <= 20")
     return search.rerank(W.queries(spark, d), top.join(chunks.select("chunk_id"), "chunk_id", "left_semi"), chunks)
 
 
@@ -157,7 +157,8 @@ rn AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(rerank_
 
 
 def context_budget(spark, d):
-    full = _reranked(spark, d).join(W.chunks(spark, d), "chunk_id")
+    chunks = W.chunks(spark, d)
+    full = _reranked(spark, d, chunks).join(chunks, "chunk_id")
     return search.filter_and_budget(full, most_chunks=5, most_chars=6000).select("query_id", "chunk_id", "position", "chars")
 
 
@@ -167,7 +168,8 @@ SELECT query_id, chunk_id, position, CAST(chars AS BIGINT) AS chars FROM bs WHER
 
 
 def answer_sources(spark, d):
-    hits = search.hydrate(_hybrid(spark, d).where("rank <= 20"), W.chunks(spark, d), W.documents(spark, d))
+    chunks = W.chunks(spark, d)
+    hits = search.hydrate(_hybrid(spark, d, chunks).where("rank <= 20"), chunks, W.documents(spark, d))
     return search.answer_sources(hits)
 
 
@@ -178,7 +180,8 @@ SELECT query_id, source_index, file_path, string_split(file_path, '/')[-1] AS na
 
 
 def context_blocks(spark, d):
-    kept = search.filter_and_budget(_reranked(spark, d).join(W.chunks(spark, d), "chunk_id").join(W.documents(spark, d).select("doc_id", "file_path"), "doc_id"), most_chars=6000)
+    chunks = W.chunks(spark, d)
+    kept = search.filter_and_budget(_reranked(spark, d, chunks).join(chunks, "chunk_id").join(W.documents(spark, d).select("doc_id", "file_path"), "doc_id"), most_chars=6000)
     return search.context_block(kept).select("query_id", F.sha2("block", 256).alias("block_hash"), F.length("block").cast("long").alias("n"))
 
 

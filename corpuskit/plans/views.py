@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corpuskit.operators.chunks import chunk_text
 from corpuskit.operators.keyword import build_postings
+from corpuskit.plans.scratch import Scratch
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -17,14 +18,20 @@ def documents(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", "text", "lang", "source", "n_chars", path.alias("file_path"), F.concat(F.lit("/ws/"), "source").alias("workspace_path"), F.sha2("text", 256).alias("file_hash"))
 
 
-def chunks(spark: SparkSession, d: str) -> DataFrame:
+def cut_documents(spark: SparkSession, d: str) -> DataFrame:
     """Chunks with ids ``document:index``."""
     cut = chunk_text(table(spark, d, "documents"))
     return cut.withColumn("chunk_id", F.concat_ws(":", F.col("doc_id").cast("string"), F.col("chunk_index").cast("string")))
 
 
-def postings(spark: SparkSession, d: str, stem: bool = False) -> DataFrame:
-    return build_postings(chunks(spark, d), stem=stem)
+def chunks(spark: SparkSession, d: str) -> DataFrame:
+    """The chunks as a written table, for queries that read them more than once."""
+    return Scratch(spark, "chunks").table(cut_documents(spark, d), "chunks")
+
+
+def postings(chunked: DataFrame, stem: bool = False) -> DataFrame:
+    """The index as a written table: a search reads it for hits, lengths and totals."""
+    return Scratch(chunked.sparkSession, "postings").table(build_postings(chunked, stem=stem), "postings")
 
 
 def queries(spark: SparkSession, d: str) -> DataFrame:
