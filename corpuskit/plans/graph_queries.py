@@ -43,8 +43,9 @@ def merged_entities(spark, d):
 
 
 def _links(spark, d):
-    """Edges from customers and suppliers to parts, so that merging moves ends."""
-    o = W.table(spark, d, "orders").select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("source_id"), F.concat(F.lit("p"), (F.col("o_orderkey") % 2000).cast("string")).alias("target_id"), F.lit("OWNS").alias("relationship_type"), (F.round("o_totalprice") % 10 / 10).alias("confidence"))
+    """Edges from customers to parts, dealt over all of them, besides the others, so that merging moves ends."""
+    parts = W.table(spark, d, "part").agg(F.count("*").alias("n"))
+    o = W.table(spark, d, "orders").crossJoin(F.broadcast(parts)).select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("source_id"), F.concat(F.lit("p"), (F.col("o_orderkey") % F.col("n")).cast("string")).alias("target_id"), F.lit("OWNS").alias("relationship_type"), (F.round("o_totalprice") % 10 / 10).alias("confidence"))
     return o.unionByName(W.edges(spark, d))
 
 
@@ -61,12 +62,14 @@ def search_entities(spark, d):
 
 
 def k_hop_neighbourhood(spark, d):
-    seeds = W.table(spark, d, "supplier").where("s_suppkey < 5").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("id"))
+    """Around every 50th supplier."""
+    seeds = W.table(spark, d, "supplier").where("s_suppkey % 50 = 0").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("id"))
     return G.k_hop(seeds, W.edges(spark, d), 2).select("seed", "id", F.col("hops").cast("long").alias("hops"))
 
 
 def entity_context_edges(spark, d):
-    names = W.table(spark, d, "nation").where("n_nationkey < 3").select(F.lower("n_name").alias("name"))
+    """Around all nations."""
+    names = W.table(spark, d, "nation").select(F.lower("n_name").alias("name"))
     return G.entity_context(names, W.entities(spark, d), W.edges(spark, d), 1)[1].select("seed", "source_id", "target_id")
 
 
@@ -76,7 +79,8 @@ def connected_documents(spark, d):
 
 
 def shortest_paths(spark, d):
-    s = W.table(spark, d, "supplier").where("s_suppkey < 12")
+    """From four of every 50 suppliers; one of the four asks for a node without edges."""
+    s = W.table(spark, d, "supplier").where("s_suppkey % 50 < 4")
     pairs = s.select(F.col("s_suppkey").alias("pair_id"), F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("source_id"), F.when(F.col("s_suppkey") % 4 == 3, "p1").otherwise(F.concat(F.lit("s"), (F.col("s_suppkey") + 7).cast("string"))).alias("target_id"))
     return G.shortest_paths(pairs, W.edges(spark, d)).select("pair_id", "found", "length", F.array_join("path", ">").alias("path"))
 

@@ -47,7 +47,7 @@ def vectors(spark: SparkSession, d: str) -> DataFrame:
 def entities(spark: SparkSession, d: str) -> DataFrame:
     """Parts, suppliers, customers, nations and regions as entities."""
     sized = (F.lit(0.5) + (F.col("p_size") % 50) / 100).alias("confidence")
-    part = table(spark, d, "part").where("p_partkey < 2000").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("id"), F.concat_ws(" ", "p_name", (F.col("p_size") % 10).cast("string")).alias("name"), F.lit("Product").alias("entity_type"), F.col("p_brand").alias("source_document_id"), sized)
+    part = table(spark, d, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("id"), F.concat_ws(" ", "p_name", (F.col("p_size") % 10).cast("string")).alias("name"), F.lit("Product").alias("entity_type"), F.col("p_brand").alias("source_document_id"), sized)
     one = F.lit(1.0).alias("confidence")
 
     def rows(name: str, prefix: str, key: str, label: str, kind: str, doc: str) -> DataFrame:
