@@ -23,7 +23,7 @@ ASSIGN_WORDS = (b"password", b"passwd", b"secret", b"token", b"api_key", b"apike
 ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 HEX = re.compile(rb"(?<![0-9a-f])[0-9a-f]{24,}")
 #: Further places where a credential is expected: short names, bearer headers, user info of addresses.
-CONTEXT = re.compile(rb"(?:\b(?:pwd|passphrase|credentials?)[\"']?\x20*[:=]\x20*[\"']?|\b[Bb]earer\x20+|://[A-Za-z0-9._%+-]{1,64}:)([A-Za-z0-9+/_.=!#$%^&*~-]{6,256})")
+CONTEXT = re.compile(rb"(?:(?<![a-z0-9])(?:(?:pwd|passphrase|credentials?)[\"']?\x20*[:=]\x20*[\"']?|bearer\x20+)|://[a-z0-9._%+-]+:)([a-z0-9+/_.=!#$%^&*~-]{6,})", re.I)
 CONTEXT_WORDS = (b"pwd", b"passphrase", b"credential", b"bearer", b"://")
 _HEXES = bytes(0x68 if chr(i) in "0123456789abcdef" else 0x20 for i in range(256))
 

@@ -121,3 +121,30 @@ def test_guess_cost_is_the_minimum():
     for _ in range(100):
         v = "".join(r.choice(["pass", "word", "a", "1", "12", "qwe", "rty", "2001", "zz", "X"]) for _ in range(4))
         assert secrets.guess_cost(v)[0] <= brute(v) + 0.31
+
+
+LONG = hashlib.sha512(b"1").hexdigest() * 8
+VALUES = [
+    ("Authorization: Bearer ", LONG[:1000], " end"),
+    ("authorization: BEARER ", LONG[:1000], ""),
+    ("x PWD=", "Xk29vLq8TzR4", ";"),
+    ("Server=a;Pwd=", "Xk29vLq8TzR4", ";"),
+    ("db_pwd=", "Xk29vLq8TzR4" * 40, "\n"),
+    ("PassPhrase: ", "Xk29vLq8TzR4", ""),
+    ("postgres://" + "u" * 200 + ":", "Xk29vLq8TzR4" * 30, "@host/db"),
+]
+
+
+@pytest.mark.parametrize("before, value, after", VALUES)
+def test_whole_values_in_context(spark, before, value, after):
+    spans = [x for x in secrets.scan((before + value + after).encode()) if x[0] == "value"]
+    assert spans == [("value", len(before), len(before + value), secrets.guess_cost(value)[0])]
+
+
+def test_words_that_only_end_like_context():
+    assert [x for x in secrets.scan(b"xpwd=Xk29vLq8TzR4 forbearer Xk29vLq8TzR4") if x[0] == "value"] == []
+
+
+def test_long_runs_take_linear_time():
+    texts = [b"pwd=" + b"aZ1" * 30_000, b"://" + b"u" * 200_000, b"://u" * 50_000, b"pwd " * 50_000, b"Bearer " + b" " * 200_000]
+    assert [sum(x[0] == "value" for x in secrets.scan(t)) for t in texts] == [1, 0, 0, 0, 0]
