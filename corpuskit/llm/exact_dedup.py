@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from corpuskit.llm._text import read, slices, texts
 from corpuskit.plans.scratch import Scratch
 
-#: Distinct digests that one bucket of the index holds on average.
+#: Distinct digests of either side that one bucket holds on average, at most.
 BUCKET_KEYS = 40_000
 #: Bits per remaining key of a level, and levels before the rest is stored as a list.
 GAMMA, LEVELS = 2.0, 24
@@ -115,7 +115,12 @@ def _bucket(n_buckets: int):
     return F.pmod(F.conv(F.hex(F.substring("digest", 1, 7)), 16, 10).cast("long"), F.lit(n_buckets)).cast("int")
 
 
-INDEX = "bucket int, bits array<binary>, sizes array<int>, rest binary, digests binary, ids binary, points binary, counts binary"
+def _named(df: DataFrame) -> DataFrame:
+    """Null ids as 0 and a flag: pandas would turn a column of longs with nulls into doubles."""
+    return df.withColumn("named", F.col("id").isNotNull()).withColumn("id", F.coalesce("id", F.lit(0).cast("long")))
+
+
+INDEX = "bucket int, bits array<binary>, sizes array<int>, rest binary, digests binary, ids binary, named binary, points binary, counts binary"
 
 
 def build_index(history: DataFrame, n_buckets: int) -> DataFrame:
@@ -126,17 +131,17 @@ def build_index(history: DataFrame, n_buckets: int) -> DataFrame:
         ph = PerfectHash.build(digest)
         order = np.argsort(ph.slots(digest))
         take = lambda c: pdf[c].to_numpy(np.int64)[order].astype("<i8").tobytes()
-        return pd.DataFrame([{"bucket": pdf["bucket"].iloc[0], **ph.pack(), "digests": digest[order].tobytes(), "ids": take("id"), "points": take("n_points"), "counts": take("n")}])
+        return pd.DataFrame([{"bucket": pdf["bucket"].iloc[0], **ph.pack(), "digests": digest[order].tobytes(), "ids": take("id"), "named": take("named"), "points": take("n_points"), "counts": take("n")}])
 
-    return history.withColumn("bucket", _bucket(n_buckets)).groupBy("bucket").applyInPandas(run, INDEX)
+    return _named(history).withColumn("bucket", _bucket(n_buckets)).groupBy("bucket").applyInPandas(run, INDEX)
 
 
 def lookup(incoming: DataFrame, index: DataFrame, n_buckets: int) -> DataFrame:
-    """Distinct incoming digests with the slot's contents; nulls where the digest is no member."""
+    """Distinct incoming digests with the slot's contents; nulls where the digest is no member, which ``h_n`` tells."""
 
     def run(new: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
-        out = new[["digest", "n", "n_points", "id"]].copy()
-        for c in ("h_n", "h_points", "h_id"):
+        out = new[["digest", "n", "n_points", "id", "named"]].copy()
+        for c in ("h_n", "h_points", "h_id", "h_named"):
             out[c] = pd.array([None] * len(out), dtype="Int64")
         if len(index) and len(out):
             row = index.iloc[0]
@@ -144,14 +149,15 @@ def lookup(incoming: DataFrame, index: DataFrame, n_buckets: int) -> DataFrame:
             slot = PerfectHash.unpack(list(row["bits"]), list(row["sizes"]), row["rest"]).slots(digest)
             member = slot >= 0
             member[member] = (held[slot[member]] == digest[member]).all(axis=1)
-            for c, name in (("h_n", "counts"), ("h_points", "points"), ("h_id", "ids")):
+            for c, name in (("h_n", "counts"), ("h_points", "points"), ("h_id", "ids"), ("h_named", "named")):
                 value = np.zeros(len(out), np.int64)
                 value[member] = np.frombuffer(row[name], "<i8")[slot[member]]
                 out[c] = pd.arrays.IntegerArray(value, ~member)
         return out
 
-    left = incoming.withColumn("bucket", _bucket(n_buckets)).groupBy("bucket")
-    return left.cogroup(index.groupBy("bucket")).applyInPandas(run, "digest binary, n long, n_points long, id long, h_n long, h_points long, h_id long")
+    left = _named(incoming).withColumn("bucket", _bucket(n_buckets)).groupBy("bucket")
+    found = left.cogroup(index.groupBy("bucket")).applyInPandas(run, "digest binary, n long, n_points long, id long, named boolean, h_n long, h_points long, h_id long, h_named long")
+    return found.withColumn("id", F.when(F.col("named"), F.col("id"))).withColumn("h_id", F.when(F.col("h_named") == 1, F.col("h_id"))).drop("named", "h_named")
 
 
 def exact_dedup(history: DataFrame, incoming: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_keys: int = BUCKET_KEYS) -> DataFrame:
@@ -159,9 +165,10 @@ def exact_dedup(history: DataFrame, incoming: DataFrame, id_col: str = "doc_id",
 
     Returns one row per input row: ``id_col, keep_id, group_size, kept,
     text_sha256``. The row with the most code points stays, then the smallest
-    id. Null texts are empty texts; two empty texts are equal. Ids must be
-    unique longs over both tables; an empty table gives no rows; other columns
-    are not read. A group of any size is only counted by partial aggregation
+    id, null ids last. Null texts are empty texts; two empty texts are equal. Ids
+    must be unique longs over both tables or null, and a comparison with a null
+    id makes ``kept`` null; an empty table gives no rows; other columns are not
+    read. A group of any size is only counted by partial aggregation
     and joined, never gathered.
     """
     spark = history.sparkSession
@@ -169,14 +176,14 @@ def exact_dedup(history: DataFrame, incoming: DataFrame, id_col: str = "doc_id",
     old = scratch.table(digests(history, id_col, text_col), "old")
     new = scratch.table(digests(incoming, id_col, text_col), "new")
     seen = scratch.table(_best(old), "seen")
-    n_buckets = max(1, -(-seen.count() // bucket_keys))
+    arrived = scratch.table(_best(new), "arrived")
+    n_buckets = max(1, -(-max(seen.count(), arrived.count()) // bucket_keys))
     index = scratch.table(build_index(seen, n_buckets), "index")
-    fresh = lookup(_best(new), index, n_buckets)
-    found = scratch.table(fresh, "found")
+    found = scratch.table(lookup(arrived, index, n_buckets), "found")
     rows = lambda n, p, i: F.struct(F.col(n).alias("n"), F.col(p).alias("n_points"), F.col(i).alias("id"))
-    members = found.where("h_id is not null").select("digest", F.explode(F.array(rows("n", "n_points", "id"), rows("h_n", "h_points", "h_id"))).alias("r"))
-    alone = found.where("h_id is null").select("digest", rows("n", "n_points", "id").alias("r"))
-    quiet = seen.join(found.where("h_id is not null").select("digest"), "digest", "left_anti").select("digest", rows("n", "n_points", "id").alias("r"))
+    members = found.where("h_n is not null").select("digest", F.explode(F.array(rows("n", "n_points", "id"), rows("h_n", "h_points", "h_id"))).alias("r"))
+    alone = found.where("h_n is null").select("digest", rows("n", "n_points", "id").alias("r"))
+    quiet = seen.join(found.where("h_n is not null").select("digest"), "digest", "left_anti").select("digest", rows("n", "n_points", "id").alias("r"))
     merged = members.union(alone).union(quiet).select("digest", "r.*")
     order = F.struct(F.col("n_points").alias("p"), (-F.col("id")).alias("i"))
     winner = scratch.table(merged.groupBy("digest").agg(F.sum("n").alias("group_size"), F.max(order).alias("w")).select("digest", "group_size", (-F.col("w.i")).alias("keep_id")), "winner")
@@ -186,12 +193,12 @@ def exact_dedup(history: DataFrame, incoming: DataFrame, id_col: str = "doc_id",
 
 
 def history_and_incoming(docs: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
-    """The table as two loads: ids up to the middle of their range came first."""
+    """The table as two loads: ids up to the middle of their range came first; rows without an id arrive."""
     ends = docs.agg(F.min(id_col).alias("a"), F.max(id_col).alias("b")).first()
     if ends["a"] is None:
         return docs, docs.limit(0)
     middle = (ends["a"] + ends["b"]) // 2
-    return docs.where(F.col(id_col) <= middle), docs.where(F.col(id_col) > middle)
+    return docs.where(F.col(id_col) <= middle), docs.where((F.col(id_col) > middle) | F.col(id_col).isNull())
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
