@@ -42,7 +42,7 @@ class WordCache:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        self.added = sorted(t.content for t in self.tok.get_added_tokens_decoder().values())
         newline = self.whole(["\n"])[0]
         self.newline = int(newline[0]) if len(newline) == 1 else -1
         self.forget()
@@ -114,14 +114,17 @@ def gather(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return flat[shift + np.arange(len(shift))]
 
 
-def pieces(column: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array, dict[int, str]]:
+def pieces(column: pa.Array, added: list[str]) -> tuple[np.ndarray, np.ndarray, pa.Array, dict[int, str]]:
     """Texts as codes of pieces: codes, row offsets, distinct pieces, and rows to encode whole.
 
     The first piece of a text has no blank before it; each later one has one.
     Punctuation that closes a word is a piece of its own, maybe empty, so a row
-    has two codes for each cut.
+    has two codes for each cut. Texts that hold one of the ``added`` tokens are
+    encoded whole.
     """
     odd = pc.match_substring_regex(column, _ODD).to_numpy(zero_copy_only=False)
+    for token in added:
+        odd = odd | pc.match_substring(column, token).to_numpy(zero_copy_only=False)
     whole = {int(i): column[int(i)].as_py() for i in np.flatnonzero(odd)}
     plain = pc.if_else(pa.array(odd), "", column) if whole else column
     split = pc.split_pattern(plain, " ")
@@ -187,7 +190,7 @@ class Coded:
 
 
 def code_column(column: pa.Array, cache: WordCache) -> Coded:
-    code, offsets, items, whole = pieces(column)
+    code, offsets, items, whole = pieces(column, cache.added)
     start, number = cache.places(items)
     return Coded(code, offsets, number, gather(cache.flat, start, number), dict(zip(whole, cache.whole(list(whole.values())))))
 

@@ -111,3 +111,14 @@ def test_plan_is_best_fit_decreasing():
             for i in range(end - rank):
                 used[first + i // per] += length
         assert sorted(32 - v for v in used.values()) == sorted(free)
+
+
+def test_encoder_equals_a_fresh_tokenizer():
+    from tokenizers import Tokenizer
+
+    fresh = Tokenizer.from_file(tokens.default_tokenizer())
+    texts = ["<|endoftext|>", "a <|endoftext|> b", "one,<|endoftext|>.two", "<|endoftext|><|endoftext|>", "<|endoftext", "plain text", "", *random_texts(500, 9)]
+    ids, start = tokens.code_column(pa.array(texts), tokens.WordCache.of(tokens.default_tokenizer())).expand(0)
+    assert 50256 in ids
+    for i, t in enumerate(texts):
+        assert ids[start[i] : start[i + 1] - 1].tolist() == fresh.encode(t, add_special_tokens=False).ids, t
