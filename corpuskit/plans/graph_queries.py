@@ -9,6 +9,7 @@ from corpuskit.operators import clusters as C, graph as G, placement as P, vecto
 from corpuskit.operators.components import connected_components
 from corpuskit.operators.conversations import pending_counts
 from corpuskit.plans import views as W
+from corpuskit.plans.table_queries import floating_documents
 from corpuskit.plans.text_queries import _list
 
 
@@ -169,16 +170,20 @@ SELECT * FROM a7 WHERE score >= 0.22 AND round(score - current_score, 4) >= 0.5"
 
 
 def _stray(spark, d):
-    return W.table(spark, d, "embeddings").where("vec_id < 100").select(F.col("vec_id").alias("doc_id"))
+    """All floating documents."""
+    return floating_documents(spark, d).select("doc_id")
 
 
-def _distances(spark, d):
-    v = W.table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding").where("doc_id % 9 <> 0")
-    return C.pair_distances(W.terms(spark, d), v, _stray(spark, d))
+def _vectors(spark, d):
+    return W.table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding").where("doc_id % 9 <> 0")
+
+
+def _near(spark, d):
+    return C.near_pairs(W.terms(spark, d), _vectors(spark, d), _stray(spark, d))
 
 
 def pair_distances(spark, d):
-    return _distances(spark, d).select("a", "b", F.round("distance", 6).alias("distance"))
+    return C.pair_distances(W.terms(spark, d), _vectors(spark, d), _stray(spark, d)).select("a", "b", F.round("distance", 6).alias("distance"))
 
 
 _DIST = """, st AS (SELECT DISTINCT doc_id, term FROM v_terms WHERE doc_id IN (SELECT vec_id FROM embeddings WHERE vec_id < 100)), sz AS (SELECT doc_id, count(*) AS n FROM st GROUP BY 1),
@@ -190,12 +195,11 @@ pd AS (SELECT x.vec_id AS a, y.vec_id AS b, greatest(0, 1 - (0.75 * coalesce(c /
 
 
 def cluster_components(spark, d):
-    near = _distances(spark, d).where("distance <= 0.75")
-    return connected_components(near, "a", "b").select("node", "component")
+    return connected_components(_near(spark, d), "a", "b").select("node", "component")
 
 
 def cluster_average_linkage(spark, d):
-    return C.average_linkage(_distances(spark, d), 0.8)
+    return C.average_linkage(C.component_distances(cluster_components(spark, d), W.terms(spark, d), _vectors(spark, d)))
 
 
 def cluster_names(spark, d):
