@@ -3,7 +3,10 @@
 import random
 import re
 
-from corpuskit.llm.ngram_join import jaccard_components
+import numpy as np
+
+from corpuskit.llm import ngram_join
+from corpuskit.llm.ngram_join import differences, jaccard_components
 
 DOCS = "doc_id long, text string, shingle int, comp int, n int"
 
@@ -62,3 +65,33 @@ def test_equals_all_pairs(spark):
 
 def test_empty_table(spark):
     assert jaccard_components(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_families_in_blocks(spark, monkeypatch):
+    """Copies around the threshold, most of them unlinked, in blocks of a few sets."""
+    monkeypatch.setattr(ngram_join, "BLOCK_SETS", 7)
+    r = random.Random(5)
+    word = lambda: f"w{r.randrange(5000)}"
+    rows = [(None, "no id at all"), (7000, "no id at all")]
+    for size in (40, 90):
+        base = [word() for _ in range(size)]
+        for k in range(45):
+            copy = base[: r.choice([size, size, size - 9])]
+            for _ in range(r.choice([0, 1, 2, 2, 3])):
+                copy[r.randrange(len(copy))] = word()
+            rows.append((size * 50 + k, " ".join(copy)))
+    docs = spark.createDataFrame([(i, t, 1, 2, 3) for i, t in rows * 2], DOCS)
+    out = jaccard_components(docs, 4, 85, 100).collect()
+    want = brute(rows[1:], 4, 85, 100)
+    assert len(out) == 2 * len(rows)
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in out if x.doc_id is not None} == want
+    assert {(x.n_shingles, x.component_id) for x in out if x.doc_id is None} == {(1, None)}
+    assert 20 < len({c for _, c in want.values()}) < 80
+
+
+def test_differences_equal_set_differences():
+    r = random.Random(3)
+    sets = [set(r.sample(range(40), r.randrange(1, 30))) for _ in range(25)]
+    flat = np.array([x for s in sets for x in s])
+    got = differences(flat, np.repeat(np.arange(25), [len(s) for s in sets]), np.array([len(s) for s in sets]))
+    assert got.tolist() == [[len(a ^ b) for b in sets] for a in sets]
