@@ -7,9 +7,9 @@
 3. *Inside a family* every set is checked against the leader. Sets that link
    with it share its component, so no two of them are compared. The others meet
    the rest of the family in blocks of bounded size inside tasks, where answers
-   are derived from a pivot set: only the differences from it are multiplied,
-   as |X ^ Y| = |X ^ P| + |Y ^ P| - 2 |(X ^ P) & (Y ^ P)|. A task emits a
-   spanning forest of the links it finds.
+   are derived from the leader's: only the differences from it travel and are
+   multiplied, as |X ^ Y| = |X ^ L| + |Y ^ L| - 2 |(X ^ L) & (Y ^ L)|. A task
+   emits a spanning forest of the links it finds.
 4. *Across families* a prefix index finds the pairs. A set's prefix (the
    shingles of which a partner must hold one) is its least shingles in a global
    order that puts widely shared ones last. The list of a shingle is cut into
@@ -34,9 +34,11 @@ from corpuskit.plans.scratch import Scratch
 #: Minima of a sketch, and how far apart the ones lie that bring sets together.
 BINS, SEAT_STEP = 32, 4
 #: Share of equal minima from which two sets are of one family.
-ALIKE = 0.6
+ALIKE = 0.4
 #: Sets and shingles that one block of a family holds on average.
 BLOCK_SETS, BLOCK_SHINGLES = 1000, 500_000
+#: Entries up to which a list is not cut into blocks.
+SHORT_LIST = 64
 #: Columns of one product of differences.
 COLUMNS = 4096
 #: Most shingles that are put last in the order; only the order depends on it, never the result.
@@ -201,33 +203,23 @@ def _forest(link: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def differences(flat: np.ndarray, row: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The size of every two sets' symmetric difference; ``flat[i]`` is a member of set ``row[i]``.
+    """The size of the symmetric difference of every two sets; ``flat[i]`` is a member of set ``row[i]``.
 
-    All is told by the differences from the first set: a member that no set, or
-    only one, has other than the first takes no column.
+    The sets may be themselves differences from one leader: what they differ in is the same.
     """
-    n, column = len(size), np.unique(flat, return_inverse=True)[1]
-    wide = int(column.max()) + 1
-    pivot = np.zeros(wide, bool)
-    pivot[column[row == 0]] = True
-    count = np.bincount(column, minlength=wide)
-    differ = np.where(pivot, n - count, count)
-    away = size + size[0] - 2 * np.bincount(row, weights=pivot[column], minlength=n)
-    used = np.flatnonzero(differ > 1)
-    place = np.full(wide, -1)
-    place[used] = np.arange(len(used))
-    at = place[column]
-    row, at = row[at >= 0], at[at >= 0]
+    column, count = np.unique(flat, return_inverse=True, return_counts=True)[1:]
+    used = np.cumsum(count > 1) - 1  # a member of one set alone takes no column
+    keep = count[column] > 1
+    row, at = row[keep], used[column[keep]]
     order = np.argsort(at, kind="stable")
-    row, at = row[order], at[order]
-    common = np.zeros((n, n), np.float32)
-    for a in range(0, len(used), COLUMNS):
+    row, at, wide = row[order], at[order], int((count > 1).sum())
+    common = np.zeros((len(size), len(size)), np.float32)
+    for a in range(0, wide, COLUMNS):
         part = slice(*np.searchsorted(at, [a, a + COLUMNS]))
-        block = np.zeros((n, min(COLUMNS, len(used) - a)), np.float32)
+        block = np.zeros((len(size), min(COLUMNS, wide - a)), np.float32)
         block[row[part], at[part] - a] = 1
-        block = np.abs(block - pivot[used[a : a + COLUMNS]])
         common += block @ block.T
-    return away[:, None] + away[None, :] - 2 * common
+    return size[:, None] + size[None, :] - 2 * common
 
 
 def _compare(num: int, den: int):
@@ -235,10 +227,11 @@ def _compare(num: int, den: int):
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("id").combine_chunks()
+        table = table.combine_chunks()
         ids, size = table["id"].to_numpy(), table["n"].to_numpy()
-        lists = table["shingles"].chunk(0)
-        differ = differences(lists.flatten().to_numpy(), np.repeat(np.arange(len(ids)), size), size)
+        lists = table["differs"].chunk(0)
+        away = np.diff(lists.offsets.to_numpy())
+        differ = differences(lists.flatten().to_numpy(), np.repeat(np.arange(len(ids)), away), away)
         both = size[:, None] + size[None, :]
         inter = (both - differ) / 2
         link = den * inter >= num * (both - inter)
@@ -251,20 +244,24 @@ def _compare(num: int, den: int):
 def inside_families(held: DataFrame, num: int, den: int, scratch: Scratch) -> DataFrame:
     """``(a, b)``: links that connect whatever links connect inside the families of ``held``."""
     head = held.where("id = family").select("family", F.col("n").alias("nb"), F.col("shingles").alias("leader"))
-    inter = F.size(F.array_intersect("shingles", "leader")).cast("long")
-    known = held.join(head, "family").select("id", "family", F.col("n").alias("na"), "nb", inter.alias("inter"), "shingles")
+    known = held.join(head, "family").withColumnRenamed("n", "na").withColumn("more", F.array_except("shingles", "leader"))
+    known = known.withColumn("inter", F.col("na") - F.size("more")).withColumn("differs", F.concat("more", F.array_except("leader", "shingles")))
     cls = F.floor(F.log(F.col("na").cast("double")) / float(np.log(den / num)))
-    known = scratch.table(known.select("id", "family", F.col("na").alias("n"), _linked(num, den).alias("settled"), cls.alias("cls"), "shingles"), "known")
+    known = scratch.table(known.select("id", "family", F.col("na").alias("n"), _linked(num, den).alias("settled"), cls.alias("cls"), "differs"), "known")
 
     # Blocks of like size; partners' sizes differ by a factor den / num at most, so they lie in the same or a next class.
-    parts = known.groupBy("family", "cls", "settled").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
-    parts = parts.withColumn("m", F.ceil(F.greatest(F.col("c") / BLOCK_SETS, F.col("s") / BLOCK_SHINGLES)))
-    plan = parts.groupBy("family").agg(F.collect_list(F.struct("cls", "settled", "m")).alias("g"), F.max(~F.col("settled")).alias("open")).where("open")  # one entry per size class
+    # A family that fits into one block is one.
+    sizes = [F.count("*").alias("c"), F.sum(F.size("differs")).alias("s")]
+    blocks = F.ceil(F.greatest(F.col("c") / BLOCK_SETS, F.col("s") / BLOCK_SHINGLES, F.lit(1)))
+    parts = known.groupBy("family", "cls", "settled").agg(*sizes).withColumn("m", blocks)
+    plan = parts.groupBy("family").agg(F.collect_list(F.struct("cls", "settled", "m")).alias("g"), F.max(~F.col("settled")).alias("open"), F.sum("c").alias("c"), F.sum("s").alias("s"))  # g: one entry per size class
+    plan = plan.where("open").select("family", "g", (blocks == 1).alias("one"))
     name = lambda x, b: f"{x}cls * {1 << 40} + if({x}settled, {1 << 39}, 0) + {b}"
     own = "filter(g, x -> x.cls = cls and x.settled = settled)[0].m"
     meets = f"flatten(transform(filter(g, x -> abs(x.cls - cls) <= 1 and not (x.settled and settled)), x -> transform(sequence(0L, x.m - 1), b -> {name('x.', 'b')})))"
-    rows = known.join(plan.drop("open"), "family").withColumn("u", F.expr(name("", f"pmod(xxhash64(id), {own})"))).withColumn("v", F.explode(F.expr(meets)))
-    rows = rows.select("family", F.least("u", "v").alias("lo"), F.greatest("u", "v").alias("hi"), "id", "n", "shingles")
+    rows = known.join(plan, "family").withColumn("u", F.expr(f"if(one, 0L, {name('', f'pmod(xxhash64(id), {own})')})"))
+    rows = rows.withColumn("v", F.explode(F.expr(f"if(one, array(0L), {meets})")))
+    rows = rows.select("family", F.least("u", "v").alias("lo"), F.greatest("u", "v").alias("hi"), "id", "n", "differs")
     pairs = rows.groupBy("family", "lo", "hi").applyInArrow(_compare(num, den), "a long, b long")
     return known.where("settled and id <> family").select(F.col("id").alias("a"), F.col("family").alias("b")).union(pairs)
 
@@ -275,8 +272,9 @@ def across_families(indexed: DataFrame, num: int, den: int, scratch: Scratch) ->
     entries = indexed.select("id", "n", family.alias("family"), F.size("prefix").alias("len"), F.posexplode("prefix").alias("pos", "shingle"))
     mixed = entries.groupBy("shingle").agg(F.min("family").alias("lo"), F.max("family").alias("hi")).where("lo < hi").select("shingle")
     lists = scratch.table(entries.join(_bounded(scratch.table(mixed, "mixed")), "shingle"), "lists")
-    major = lists.groupBy("shingle", "family").agg(F.count("*").alias("c")).groupBy("shingle").agg(F.max(F.struct("c", "family")).alias("x")).select("shingle", F.col("x.family").alias("major"))
-    lists = scratch.table(lists.join(major, "shingle").withColumn("light", F.col("family") != F.col("major")), "marked")
+    major = lists.groupBy("shingle", "family").agg(F.count("*").alias("c")).groupBy("shingle").agg(F.max(F.struct("c", "family")).alias("x"), F.sum("c").alias("entries"))
+    lists = lists.join(major.select("shingle", F.col("x.family").alias("major"), (F.col("entries") <= SHORT_LIST).alias("short")), "shingle")
+    lists = scratch.table(lists.withColumn("light", F.col("family") != F.col("major")).drop("major"), "marked")
     scratch.drop("lists")
 
     # Blocks by size and position. How far partners' positions may lie apart follows from the overlap that sizes in the
@@ -288,9 +286,10 @@ def across_families(indexed: DataFrame, num: int, den: int, scratch: Scratch) ->
     before, after = f"na - {share} * (na + {small}) + 1", f"{large} - {share} * (na + {large}) + 1"
     reach = f"sequence(cast(floor(greatest(0D, pa - ({before})) / {step}) as long), cast(floor(greatest(0D, pa + ({after})) / {step}) as long))"
     ends = lambda s: [F.col(c).alias(f"{x}{s}") for c, x in (("id", ""), ("n", "n"), ("pos", "p"), ("family", "f"), ("len", "k"))]
-    probe = lists.where("light").select("shingle", *ends("a"), F.explode(F.array(block - 1, block, block + 1)).alias("block"))
-    probe = probe.where(f"{small} <= {large}").withColumn("at", F.explode(F.expr(reach)))
-    held = lists.select("shingle", *ends("b"), F.col("light").alias("lb"), block.alias("block")).withColumn("at", F.expr(f"cast(floor(pb / {step}) as long)"))
+    probe = lists.where("light").select("shingle", "short", *ends("a"), F.explode(F.when(F.col("short"), F.array(F.lit(0).cast("long"))).otherwise(F.array(block - 1, block, block + 1))).alias("block"))
+    probe = probe.where(f"short or {small} <= {large}").withColumn("at", F.explode(F.expr(f"if(short, array(0L), {reach})"))).drop("short")
+    held = lists.select("shingle", "short", *ends("b"), F.col("light").alias("lb"), F.when(F.col("short"), 0).otherwise(block).alias("block"))
+    held = held.withColumn("at", F.expr(f"if(short, 0L, cast(floor(pb / {step}) as long))")).drop("short")
     upper = "least(pa, pb) + 1 + least(na - pa - 1, nb - pb - 1)"
     fits = f"fa <> fb and (not lb or a < b) and ({num + den}) * ({upper}) >= {num} * (na + nb) and least(na, nb) * {den} >= greatest(na, nb) * {num}"
     hits = probe.join(held, ["shingle", "block", "at"]).where(fits)

@@ -70,6 +70,7 @@ def test_empty_table(spark):
 def test_families_in_blocks(spark, monkeypatch):
     """Copies around the threshold, most of them unlinked, in blocks of a few sets."""
     monkeypatch.setattr(ngram_join, "BLOCK_SETS", 7)
+    monkeypatch.setattr(ngram_join, "SHORT_LIST", 3)
     r = random.Random(5)
     word = lambda: f"w{r.randrange(5000)}"
     rows = [(None, "no id at all"), (7000, "no id at all")]
