@@ -9,7 +9,7 @@ from corpuskit.operators import clusters as C, graph as G, placement as P, vecto
 from corpuskit.operators.components import connected_components
 from corpuskit.operators.conversations import pending_counts
 from corpuskit.plans import views as W
-from corpuskit.plans.table_queries import floating_documents
+from corpuskit.plans.table_queries import _FLOATING, _PATHS, floating_documents
 from corpuskit.plans.text_queries import _list
 
 
@@ -186,9 +186,9 @@ def pair_distances(spark, d):
     return C.pair_distances(W.terms(spark, d), _vectors(spark, d), _stray(spark, d)).select("a", "b", F.round("distance", 6).alias("distance"))
 
 
-_DIST = """, st AS (SELECT DISTINCT doc_id, term FROM v_terms WHERE doc_id IN (SELECT vec_id FROM embeddings WHERE vec_id < 100)), sz AS (SELECT doc_id, count(*) AS n FROM st GROUP BY 1),
+_DIST = ", " + _PATHS.removeprefix("WITH ") + _FLOATING + """, st AS (SELECT DISTINCT doc_id, term FROM v_terms WHERE doc_id IN (SELECT doc_id FROM fd)), sz AS (SELECT doc_id, count(*) AS n FROM st GROUP BY 1),
 sh AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM st x JOIN st y USING (term) WHERE x.doc_id < y.doc_id GROUP BY 1, 2),
-ve AS (SELECT vec_id, CASE WHEN vec_id % 9 <> 0 THEN CAST(embedding AS DOUBLE[]) END AS e FROM embeddings WHERE vec_id < 100),
+ve AS (SELECT doc_id AS vec_id, CASE WHEN doc_id % 9 <> 0 THEN CAST(embedding AS DOUBLE[]) END AS e FROM fd LEFT JOIN embeddings ON vec_id = doc_id),
 pd AS (SELECT x.vec_id AS a, y.vec_id AS b, greatest(0, 1 - (0.75 * coalesce(c / least(p.n, q.n), 0) + 0.25 * coalesce(list_cosine_similarity(x.e, y.e), 0))) AS distance
   FROM ve x JOIN ve y ON x.vec_id < y.vec_id LEFT JOIN sh ON sh.a = x.vec_id AND sh.b = y.vec_id LEFT JOIN sz p ON p.doc_id = x.vec_id LEFT JOIN sz q ON q.doc_id = y.vec_id)
 """
@@ -244,15 +244,15 @@ x AS (SELECT *, {_SHA.format("source_id || ':' || target_id || ':RELATED_TO'")}
     "shared_entity_links": W.sql(""", sh AS (SELECT canonical FROM v_entities GROUP BY 1 HAVING count(DISTINCT source_document_id) BETWEEN 2 AND 20)
 SELECT a.id AS source_id, b.id AS target_id, round(least(a.confidence, b.confidence), 6) AS confidence FROM v_entities a JOIN v_entities b ON a.canonical = b.canonical AND a.id < b.id WHERE a.canonical IN (SELECT canonical FROM sh)""", "v_entities"),
     "merged_entities": W.sql(_MERGE + " SELECT id, name, source_document_id, round(confidence, 6) AS confidence FROM v_entities JOIN mm USING (id) WHERE id = winner", "v_entities"),
-    "merged_edges": W.sql(_MERGE + """, lk AS (SELECT 'c' || o_custkey AS source_id, 'p' || (o_orderkey % 2000) AS target_id, 'OWNS' AS relationship_type, round(o_totalprice) % 10 / 10 AS confidence FROM orders UNION ALL SELECT * FROM v_edges),
+    "merged_edges": W.sql(_MERGE + """, lk AS (SELECT 'c' || o_custkey AS source_id, 'p' || (o_orderkey % (SELECT count(*) FROM part)) AS target_id, 'OWNS' AS relationship_type, round(o_totalprice) % 10 / 10 AS confidence FROM orders UNION ALL SELECT * FROM v_edges),
 mv AS (SELECT coalesce(x.winner, source_id) AS source_id, coalesce(y.winner, target_id) AS target_id, relationship_type, confidence FROM lk LEFT JOIN mm x ON x.id = source_id LEFT JOIN mm y ON y.id = target_id)
 SELECT source_id, target_id, relationship_type, round(max(confidence), 6) AS confidence FROM mv WHERE source_id <> target_id GROUP BY ALL""", "v_entities", "v_edges"),
     "search_entities": W.sql(" SELECT query_id, id, rank FROM (SELECT r_regionkey AS query_id, id, row_number() OVER (PARTITION BY r_regionkey ORDER BY confidence DESC, id) AS rank FROM v_entities JOIN region ON contains(lower(name), '_' || r_regionkey)) WHERE rank <= 50", "v_entities"),
-    "k_hop_neighbourhood": W.sql(", kh(seed, id, hops) AS (SELECT 's' || s_suppkey, 's' || s_suppkey, 0 FROM supplier WHERE s_suppkey < 5 UNION SELECT seed, nxt, hops + 1 FROM kh JOIN v_both USING (id) WHERE hops < 2) SELECT seed, id, CAST(min(hops) AS BIGINT) AS hops FROM kh GROUP BY 1, 2", "v_both"),
-    "entity_context_edges": W.sql(", nb AS (SELECT 'n' || n_nationkey AS seed, 'n' || n_nationkey AS id FROM nation WHERE n_nationkey < 3 UNION SELECT 'n' || n_nationkey, nxt FROM nation JOIN v_both ON id = 'n' || n_nationkey WHERE n_nationkey < 3) SELECT a.seed, source_id, target_id FROM v_edges JOIN nb a ON a.id = source_id JOIN nb b ON b.id = target_id AND a.seed = b.seed", "v_both"),
+    "k_hop_neighbourhood": W.sql(", kh(seed, id, hops) AS (SELECT 's' || s_suppkey, 's' || s_suppkey, 0 FROM supplier WHERE s_suppkey % 50 = 0 UNION SELECT seed, nxt, hops + 1 FROM kh JOIN v_both USING (id) WHERE hops < 2) SELECT seed, id, CAST(min(hops) AS BIGINT) AS hops FROM kh GROUP BY 1, 2", "v_both"),
+    "entity_context_edges": W.sql(", nb AS (SELECT 'n' || n_nationkey AS seed, 'n' || n_nationkey AS id FROM nation UNION SELECT 'n' || n_nationkey, nxt FROM nation JOIN v_both ON id = 'n' || n_nationkey) SELECT a.seed, source_id, target_id FROM v_edges JOIN nb a ON a.id = source_id JOIN nb b ON b.id = target_id AND a.seed = b.seed", "v_both"),
     "connected_documents": W.sql(""", sd AS (SELECT r_regionkey AS query_id, id FROM region JOIN v_entities ON contains(lower(name), lower(r_name))), c1 AS (SELECT * FROM sd UNION SELECT query_id, nxt FROM sd JOIN v_both USING (id)), c2 AS (SELECT * FROM c1 UNION SELECT query_id, nxt FROM c1 JOIN v_both USING (id)),
 dc AS (SELECT DISTINCT query_id, source_document_id AS doc_id FROM c2 JOIN v_entities USING (id)) SELECT query_id, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY doc_id) AS n FROM dc) WHERE n <= 50""", "v_both", "v_entities"),
-    "shortest_paths": W.sql(""", pr AS (SELECT s_suppkey AS pair_id, 's' || s_suppkey AS a, CASE WHEN s_suppkey % 4 = 3 THEN 'p1' ELSE 's' || (s_suppkey + 7) END AS b FROM supplier WHERE s_suppkey < 12),
+    "shortest_paths": W.sql(""", pr AS (SELECT s_suppkey AS pair_id, 's' || s_suppkey AS a, CASE WHEN s_suppkey % 4 = 3 THEN 'p1' ELSE 's' || (s_suppkey + 7) END AS b FROM supplier WHERE s_suppkey % 50 < 4),
 n1 AS (SELECT pair_id, b, [a] AS p FROM pr), n2 AS (SELECT pair_id, b, list_append(p, nxt) AS p FROM n1 JOIN v_both ON id = p[-1]), n3 AS (SELECT pair_id, b, list_append(p, nxt) AS p FROM n2 JOIN v_both ON id = p[-1] WHERE NOT list_contains(p, nxt) AND p[-1] <> b),
 n4 AS (SELECT pair_id, b, list_append(p, nxt) AS p FROM n3 JOIN v_both ON id = p[-1] WHERE NOT list_contains(p, nxt) AND p[-1] <> b AND nxt[1] <> 'c'), n5 AS (SELECT pair_id, b, list_append(p, nxt) AS p FROM n4 JOIN v_both ON id = p[-1] WHERE NOT list_contains(p, nxt) AND p[-1] <> b AND nxt[1] <> 'c'),
 n6 AS (SELECT pair_id, b, list_append(p, nxt) AS p FROM n5 JOIN v_both ON id = p[-1] WHERE NOT list_contains(p, nxt) AND p[-1] <> b AND (nxt = b OR nxt[1] NOT IN ('c', 's'))), n7 AS (SELECT pair_id, b, list_append(p, nxt) AS p FROM n6 JOIN v_both ON id = p[-1] WHERE NOT list_contains(p, nxt) AND p[-1] <> b AND nxt = b),
@@ -269,8 +269,8 @@ ed AS (SELECT target_id AS id, count(*) AS n_edges FROM v_edges WHERE source_id
     "recommendations": W.sql(_PAIRS + ", rc AS (" + _SCORE.format(pairs="pr", gate="0.1").replace(", s1 AS", "WITH s1 AS", 1) + ") SELECT CASE WHEN doc_id IN (SELECT doc_id FROM rc) THEN 'pending' ELSE 'dismissed' END AS status, count(*) AS n FROM documents GROUP BY 1", "v_terms"),
     "audit_moves": W.sql(_PAIRS + _AUDIT, "v_terms"),
     "pair_distances": W.sql(_DIST + "SELECT a, b, round(distance, 6) AS distance FROM pd", "v_terms"),
-    "cluster_components": W.sql(_DIST + ", nr AS (SELECT a, b FROM pd WHERE distance <= 0.75 UNION SELECT b, a FROM pd WHERE distance <= 0.75), cc(node, c) AS (SELECT DISTINCT a, a FROM nr UNION SELECT b, c FROM cc JOIN nr ON a = node) SELECT node, min(c) AS component FROM cc GROUP BY 1", "v_terms"),
-    "cluster_names": W.sql(_DIST + """, nr AS (SELECT a, b FROM pd WHERE distance <= 0.75 UNION SELECT b, a FROM pd WHERE distance <= 0.75), cc(node, c) AS (SELECT DISTINCT a, a FROM nr UNION SELECT b, c FROM cc JOIN nr ON a = node), cm AS (SELECT node, min(c) AS cluster FROM cc GROUP BY 1),
+    "cluster_components": W.sql(_DIST + ", nr AS (SELECT a, b FROM pd WHERE distance <= 0.45 UNION SELECT b, a FROM pd WHERE distance <= 0.45), cc(node, c) AS (SELECT DISTINCT a, a FROM nr UNION SELECT b, c FROM cc JOIN nr ON a = node) SELECT node, min(c) AS component FROM cc GROUP BY 1", "v_terms"),
+    "cluster_names": W.sql(_DIST + """, nr AS (SELECT a, b FROM pd WHERE distance <= 0.45 UNION SELECT b, a FROM pd WHERE distance <= 0.45), cc(node, c) AS (SELECT DISTINCT a, a FROM nr UNION SELECT b, c FROM cc JOIN nr ON a = node), cm AS (SELECT node, min(c) AS cluster FROM cc GROUP BY 1),
 tc AS (SELECT cluster, term, count(DISTINCT doc_id) AS n FROM cm JOIN v_terms ON doc_id = node GROUP BY 1, 2), tr AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY n DESC, term) AS r FROM tc),
 nm AS (SELECT cluster, string_agg(upper(term[1:1]) || term[2:], ' ' ORDER BY r) AS s FROM tr WHERE r <= 3 GROUP BY 1) SELECT cluster, CASE WHEN length(s) <= 60 THEN s ELSE regexp_extract(s[1:60], '^(.+) [^ ]*$', 1) END AS proposed_folder_name FROM nm""", "v_terms"),
     "document_terms": W.sql(""", ow AS (SELECT source_document_id AS doc_id, id, canonical FROM v_entities WHERE source_document_id LIKE 'nation%'), tm AS (SELECT doc_id, canonical AS term FROM ow UNION SELECT ow.doc_id, e.canonical FROM ow JOIN v_both b ON b.id = ow.id JOIN v_entities e ON e.id = b.nxt

@@ -138,6 +138,10 @@ kf AS (SELECT folder, count(*) AS n FROM el GROUP BY 1 ORDER BY n DESC, folder L
 """
 
 
+_FLOATING = """, lf AS (SELECT folder FROM kf a WHERE NOT EXISTS (SELECT 1 FROM kf b WHERE starts_with(b.folder, a.folder || '/'))),
+fd AS (SELECT doc_id, file_path FROM el WHERE folder IN (SELECT root FROM el) OR folder NOT IN (SELECT folder FROM lf) OR folder LIKE '%/misc')"""
+
+
 def eligible_documents(spark, d):
     return B.eligible_documents(_paths(spark, d)).select("doc_id", "file_path")
 
@@ -270,7 +274,7 @@ ORACLES = {
     "purge_orphans": W.sql(" SELECT workspace_path, count(*) AS n FROM v_docs WHERE source NOT IN (SELECT 'src' || r_regionkey FROM region) GROUP BY 1", _docs),
     "eligible_documents": _PATHS + "SELECT doc_id, file_path FROM el",
     "known_folders": _PATHS + "SELECT folder, n FROM kf a WHERE NOT EXISTS (SELECT 1 FROM kf b WHERE starts_with(b.folder, a.folder || '/'))",
-    "floating_documents": _PATHS + ", lf AS (SELECT folder FROM kf a WHERE NOT EXISTS (SELECT 1 FROM kf b WHERE starts_with(b.folder, a.folder || '/'))) SELECT doc_id, file_path FROM el WHERE folder IN (SELECT root FROM el) OR folder NOT IN (SELECT folder FROM lf) OR folder LIKE '%/misc'",
+    "floating_documents": _PATHS + _FLOATING + " SELECT * FROM fd",
     "incremental_audit": _PATHS + "SELECT doc_id FROM el WHERE NOT (doc_id % 3 = 0 AND doc_id % 2 = 0)",
     "conversation_list": "SELECT conv_id, CAST(count_if(role <> 'system') AS BIGINT) AS n_messages FROM conversations GROUP BY 1",
     "turn_counts": "SELECT conv_id, CAST(count_if(role = 'assistant') AS BIGINT) AS turns FROM conversations GROUP BY 1",

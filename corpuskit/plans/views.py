@@ -88,7 +88,7 @@ CTES = {
     "v_tokens": "SELECT chunk_id, unnest(regexp_extract_all(translate(content, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9\\x{80}-\\x{10FFFF}]+')) AS term FROM v_chunks",
     "v_postings": "SELECT term, chunk_id, count(*) AS tf FROM v_tokens GROUP BY ALL",
     "v_queries": "SELECT item_id AS query_id, array_to_string(string_split_regex(text, '\\s+')[1:5], ' ') AS query FROM benchmark",
-    "v_entities": """SELECT 'p' || p_partkey AS id, p_name || ' ' || (p_size % 10) AS name, 'Product' AS entity_type, p_brand AS source_document_id, CAST(0.5 AS DOUBLE) + (p_size % 50) / 100 AS confidence, lower(p_name || ' ' || (p_size % 10)) AS canonical FROM part WHERE p_partkey < 2000
+    "v_entities": """SELECT 'p' || p_partkey AS id, p_name || ' ' || (p_size % 10) AS name, 'Product' AS entity_type, p_brand AS source_document_id, CAST(0.5 AS DOUBLE) + (p_size % 50) / 100 AS confidence, lower(p_name || ' ' || (p_size % 10)) AS canonical FROM part
   UNION ALL SELECT 's' || s_suppkey, s_name, 'Organization', 'nation_' || s_nationkey, 1.0, lower(s_name) FROM supplier
   UNION ALL SELECT 'c' || c_custkey, c_name, 'Person', 'nation_' || c_nationkey, 1.0, lower(c_name) FROM customer
   UNION ALL SELECT 'n' || n_nationkey, n_name, 'Location', 'nation_' || n_nationkey, 1.0, lower(n_name) FROM nation
@@ -96,7 +96,7 @@ CTES = {
     "v_edges": """SELECT 's' || s_suppkey AS source_id, 'n' || s_nationkey AS target_id, 'BELONGS_TO' AS relationship_type, CAST(0.8 AS DOUBLE) AS confidence FROM supplier
   UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey, 'MEMBER_OF', 0.7 FROM customer UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, 'PART_OF', 1.0 FROM nation""",
     "v_both": "SELECT source_id AS id, target_id AS nxt FROM v_edges UNION SELECT target_id, source_id FROM v_edges",
-    "v_terms": "SELECT DISTINCT doc_id, source, term FROM (SELECT doc_id, source, unnest(regexp_extract_all(lower(substr(text, 1, 500)), '[a-z]+')) AS term FROM documents) WHERE length(term) > 3",
+    "v_terms": "SELECT DISTINCT doc_id, source, term FROM (SELECT doc_id, source, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS term FROM documents) WHERE length(term) > 3",
 }
 _NEEDS = {"v_chunks": ["v_cuts"], "v_tokens": ["v_cuts", "v_chunks"], "v_postings": ["v_cuts", "v_chunks", "v_tokens"], "v_both": ["v_edges"]}
 
