@@ -54,7 +54,14 @@ def words(array: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray,
 def hash_words(distinct: pa.Array) -> np.ndarray:
     """A 64-bit hash of each word."""
     digest = xxhash.xxh3_64_intdigest
-    return np.fromiter((digest(w) for w in distinct.to_pylist()), np.uint64, len(distinct))
+    data, at = b"" if distinct.buffers()[2] is None else distinct.buffers()[2].to_pybytes(), byte_offsets(distinct)
+    return np.fromiter((digest(data[a:b]) for a, b in zip(at, at[1:])), np.uint64, len(distinct))
+
+
+def byte_offsets(words: pa.Array) -> list[int]:
+    """Where each string begins in the data buffer, and where the last one ends."""
+    offsets = np.frombuffer(words.buffers()[1], np.int32) if words.buffers()[1] is not None else np.zeros(1, np.int32)
+    return offsets[words.offset : words.offset + len(words) + 1].tolist()
 
 
 def mix(h: np.ndarray) -> np.ndarray:

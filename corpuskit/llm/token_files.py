@@ -61,7 +61,7 @@ def _stage(docs: DataFrame, tokenizer: str) -> DataFrame:
         )
         for seq, (batch, c) in enumerate(coded(batches, tokenizer)):
             found, uses = c.histogram()
-            planes = c.code.astype("<u4").view(np.uint8).reshape(-1, 2, 4).transpose(1, 2, 0)  # like bytes together, for the codec
+            planes = c.code.astype("<u4").view(np.uint8).reshape(-1, 4).T  # like bytes together, for the codec
             row = {
                 "part": part, "seq": seq, "doc_ids": batch.column("doc_id").to_pylist(), "codes": planes.tobytes(), "n_codes": np.diff(c.offsets).tolist(), "number": c.number.astype("<u4").tobytes(), "flat": c.flat.astype("<u4").tobytes(),
                 "odd": [{"row": i, "ids": x.astype("<u4").tobytes()} for i, x in c.odd.items()], "ids": found.tolist(), "uses": uses.tolist(),
@@ -81,8 +81,8 @@ def _ranked(staged: DataFrame, order: np.ndarray) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
-                planes = np.frombuffer(row["codes"], np.uint8).reshape(2, 4, -1)
-                code = np.ascontiguousarray(planes.transpose(2, 0, 1)).view("<u4").ravel().astype(np.int64)
+                planes = np.frombuffer(row["codes"], np.uint8).reshape(4, -1)
+                code = np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
                 odd = {x["row"]: np.frombuffer(x["ids"], "<u4") for x in row["odd"]}
                 c = Coded(code, np.concatenate([[0], np.cumsum(row["n_codes"])]).astype(np.int64), np.frombuffer(row["number"], "<u4").astype(np.int64), np.frombuffer(row["flat"], "<u4"), odd)
                 ids, start = c.expand(END_ID)

@@ -11,7 +11,7 @@ import pytest
 from corpuskit.llm import packing, token_files, tokens
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
-BITS = ["hello", "  ", " ", "\n", "\t", "é", "1234", "'s", "!!", "\x1c", "word,", "foo.", "<|endoftext|>", "it's", "日本", " \n", "\r\n", "\x0b", "😀", "...", " a", " the"]
+BITS = ["hello", "  ", " ", "\n", "\t", "é", "1234", "'s", "!!", "\x1c", "word,", "foo.", "<|endoftext|>", "it's", "日本", " \n", "\r\n", "\x0b", "😀", "...", " a", " the", "end.\nNew", "a\nb\n\nc", "\nx"]
 
 
 def random_texts(n, seed, longest=30):
@@ -20,7 +20,11 @@ def random_texts(n, seed, longest=30):
 
 
 def whole(texts):
-    return [list(x) + [0] for x in tokens.WordCache.of(tokens.default_tokenizer()).whole([t or "" for t in texts])]
+    """By a freshly loaded tokenizer."""
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(tokens.default_tokenizer())
+    return [[*library.encode(t or "", add_special_tokens=False).ids, 0] for t in texts]
 
 
 def test_encoder_equals_library():
