@@ -38,7 +38,7 @@ ALIKE = 0.4
 #: Sets and shingles that one block of a family holds on average.
 BLOCK_SETS, BLOCK_SHINGLES = 1000, 500_000
 #: Entries up to which a list is not cut into blocks.
-SHORT_LIST = 64
+SHORT_LIST = 128
 #: Columns of one product of differences.
 COLUMNS = 4096
 #: Most shingles that are put last in the order; only the order depends on it, never the result.
@@ -281,7 +281,7 @@ def across_families(indexed: DataFrame, num: int, den: int, scratch: Scratch) ->
     # block need.
     width, share = float(np.log(den / num)), num / (num + den)
     block = F.floor(F.log(F.col("n").cast("double")) / width)
-    step = f"greatest(1D, ceil(exp((block + 1) * {width}) * {1 - num / den} / 4))"
+    step = f"greatest(1D, ceil(exp((block + 1) * {width}) * {1 - num / den} / 2))"
     small, large = f"greatest(exp(block * {width}) - 1, na * {num / den}D - 1)", f"least(exp((block + 1) * {width}) + 1, na * {den / num}D + 1)"
     before, after = f"na - {share} * (na + {small}) + 1", f"{large} - {share} * (na + {large}) + 1"
     reach = f"sequence(cast(floor(greatest(0D, pa - ({before})) / {step}) as long), cast(floor(greatest(0D, pa + ({after})) / {step}) as long))"
