@@ -36,6 +36,8 @@ UNKNOWN_PRIOR, LEAST_POSTERIOR = 0.001, 0.5
 #: The share of the uniform distribution in each language's.
 UNIFORM = 0.1
 UNKNOWN = "und"
+#: Bytes of text in one slice; each takes some 50 bytes of arrays.
+SLICE = 1_500_000
 _LOWER = np.array([32 if 9 <= c <= 13 else c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint32)
 #: What a byte is: 1 part of a letter, 2 white space, 0 anything else.
 _KIND = np.array([2 if 9 <= c <= 13 or c == 32 else int(c >= 128 or chr(c).isalpha()) for c in range(256)], np.uint8)
@@ -84,7 +86,7 @@ def fit(labelled: DataFrame, text_col: str, lang_col: str, id_col: str) -> TextM
     rows = rows.join(F.broadcast(picked), "id", "left_semi")  # SAMPLE_ROWS ids
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, limit=SLICE):
             bucket, first, end = _trigrams(texts(batch))
             langs = np.array(batch.column("lang").to_pylist())
             for lang in np.unique(langs).tolist():
@@ -112,7 +114,7 @@ def text_evidence(rows: DataFrame, model: TextModel) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = TextModel(model.languages, table)
-        for batch in slices(batches, limit=2_000_000):
+        for batch in slices(batches, limit=SLICE):
             found = held.evidence(texts(batch))
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("declared"), batch.column("host"), pc.match_substring_regex(texts(batch), r"\p{L}"), pa.array(list(found), pa.list_(pa.float64()))], names=["id", "declared", "host", "letters", "evidence"])
 
