@@ -71,8 +71,8 @@ def is_small_talk(c: Column, least_words: int = 3) -> Column:
 
 
 def canonical_name(c: Column) -> Column:
-    """Lower case without non-word characters at the ends, white space collapsed."""
-    return F.lower(F.regexp_replace(F.regexp_replace(c, r"(?U)^[\s\W]+|[\s\W]+$", ""), r"(?U)\s+", " "))
+    """Normal form C in lower case without non-word characters at the ends, white space collapsed."""
+    return F.lower(F.regexp_replace(F.regexp_replace(nfc(c), r"(?U)^[\s\W]+|[\s\W]+$", ""), r"(?U)\s+", " "))
 
 
 def file_name(path: Column) -> Column:

@@ -6,6 +6,8 @@ canonical)``, edges ``(source_id, target_id, relationship_type, confidence)``.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corpuskit.functions import constants as K, text as T
@@ -106,11 +108,19 @@ def merge_duplicates(entities: DataFrame, edges: DataFrame, scope: str = "graph"
     return kept, merged
 
 
-def few(rows: DataFrame, most: int = 10_000) -> DataFrame:
-    """A table of at most ``most`` rows as a broadcast side; more are refused, as substring joins compare every row with it."""
-    if rows.count() > most:
-        raise ValueError(f"more than {most} rows; split the table")
-    return F.broadcast(rows)
+#: Rows of one broadcast slice of a table that is searched for as substrings.
+SLICE_ROWS = 10_000
+
+
+def name_hits(entities: DataFrame, queries: DataFrame, key: str, condition: Column) -> DataFrame:
+    """Entities joined with a table of queries by a substring condition, in broadcast slices of bounded size.
+
+    Every name is compared with every query: that is what substrings ask for.
+    """
+    slices = max(1, -(-queries.count() // SLICE_ROWS))
+    part = F.pmod(F.xxhash64(key), F.lit(slices))
+    found = [entities.join(F.broadcast(queries.where(part == i)), condition) for i in range(slices)]
+    return functools.reduce(DataFrame.unionByName, found)
 
 
 def search_entities(queries: DataFrame, entities: DataFrame, limit: int = 50) -> DataFrame:
@@ -118,8 +128,8 @@ def search_entities(queries: DataFrame, entities: DataFrame, limit: int = 50) ->
     if not 1 <= limit <= 50:
         raise ValueError("limit must lie in 1..50")
     kind = F.col("entity_type") if "entity_type" in queries.columns else F.lit(None).cast("string")
-    q = few(queries.select("query_id", F.lower("query").alias("q"), kind.alias("t")))
-    hits = entities.join(q, F.lower("name").contains(F.col("q")) & (F.col("t").isNull() | (F.col("t") == F.col("entity_type"))))
+    q = queries.select("query_id", F.lower("query").alias("q"), kind.alias("t"))
+    hits = name_hits(entities, q, "query_id", F.lower("name").contains(F.col("q")) & (F.col("t").isNull() | (F.col("t") == F.col("entity_type"))))
     order = Window.partitionBy("query_id").orderBy(F.desc("confidence"), "id")
     return hits.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= limit).select("query_id", "id", "name", "confidence", "rank")
 
@@ -171,8 +181,8 @@ def focal_subgraph(names: DataFrame, entities: DataFrame, edges: DataFrame, dept
 
 def connected_documents(queries: DataFrame, entities: DataFrame, edges: DataFrame, depth: int = 2, limit: int = 50) -> DataFrame:
     """``(query_id, doc_id)``: documents of entities near those whose name holds the query's text."""
-    q = few(queries.select("query_id", F.lower("query").alias("q")))
-    seeds = entities.select("id", "name").join(q, F.lower("name").contains(F.col("q"))).select("query_id", "id")
+    q = queries.select("query_id", F.lower("query").alias("q"))
+    seeds = name_hits(entities.select("id", "name"), q, "query_id", F.lower("name").contains(F.col("q"))).select("query_id", "id")
     near = k_hop(seeds.select("id").distinct(), edges, depth)
     docs = seeds.withColumnRenamed("id", "seed").join(near, "seed").select("query_id", "id").distinct().join(entities.select("id", F.col("source_document_id").alias("doc_id")), "id").select("query_id", "doc_id").distinct()
     order = Window.partitionBy("query_id").orderBy("doc_id")

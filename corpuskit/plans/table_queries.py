@@ -241,9 +241,13 @@ def truth_checks(spark, d):
 
 
 def target_names(spark, d):
+    """Files of few names that move into folders where some names and numbers are taken."""
     p = W.table(spark, d, "part")
-    moves = p.where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("doc_id"), F.col("p_brand").alias("folder"), F.concat("p_name", F.lit(".txt")).alias("name"))
-    return C.dedupe_target_names(moves, p.where("p_partkey % 2 = 1 and p_size < 10").select(F.col("p_brand").alias("folder"), F.concat("p_name", F.lit(".txt")).alias("name"))).select("doc_id", "folder", "target_name")
+    name = F.concat(F.lit("report v1."), (F.col("p_size") % 5).cast("string"))
+    moves = p.where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("doc_id"), F.col("p_brand").alias("folder"), F.concat(name, F.lit(".txt")).alias("name"))
+    number = F.when(F.col("p_partkey") % 3 > 0, F.concat(F.lit(" ("), (F.col("p_partkey") % 7).cast("string"), F.lit(")"))).otherwise("")
+    taken = p.where("p_partkey % 2 = 1 and p_size < 30").select(F.col("p_brand").alias("folder"), F.concat(name, number, F.lit(".txt")).alias("name"))
+    return C.dedupe_target_names(moves, taken).select("doc_id", "folder", "target_name")
 
 
 QUERIES = {
@@ -298,7 +302,8 @@ SELECT entity, folder, round(coalesce(gain, 0) + pow(0.8, coalesce(n, 0)) * coal
     "audit_points": """SELECT p_partkey AS filename, CAST(CASE WHEN p_size % 2 = 0 THEN CASE WHEN p_size % 3 = 0 AND 'Brand#' || (p_size % 25) = p_brand THEN 2 WHEN p_size % 3 = 0 THEN 1 ELSE 0 END ELSE CASE WHEN p_size % 3 = 0 THEN 0 ELSE 2 END END AS BIGINT) AS points FROM part""",
     "truth_checks": """WITH x AS (SELECT 'too few documents' AS problem, p_brand AS subject FROM part GROUP BY 2 HAVING count(*) < 80 UNION ALL SELECT 'no counterpart', p_name FROM part WHERE p_size % 3 = 0 AND p_size % 5 = 0 UNION ALL SELECT 'one candidate', p_name FROM part WHERE p_size % 3 <> 0 AND p_size % 2 = 0)
 SELECT problem, subject, count(*) AS n FROM x GROUP BY ALL""",
-    "target_names": """WITH t AS (SELECT DISTINCT p_brand AS folder, p_name AS name, 1 AS t FROM part WHERE p_partkey % 2 = 1 AND p_size < 10),
-m AS (SELECT p_partkey AS doc_id, p_brand AS folder, p_name AS name, row_number() OVER (PARTITION BY p_brand, p_name ORDER BY p_partkey) - 1 + coalesce(t, 0) AS n FROM part LEFT JOIN t ON t.folder = p_brand AND t.name = p_name WHERE p_partkey % 2 = 0)
-SELECT doc_id, folder, CASE WHEN n = 0 THEN name || '.txt' ELSE name || ' (' || n || ').txt' END AS target_name FROM m""",
+    "target_names": """WITH t AS (SELECT DISTINCT p_brand AS folder, 'report v1.' || (p_size % 5) AS name, CASE WHEN p_partkey % 3 > 0 THEN p_partkey % 7 END AS k FROM part WHERE p_partkey % 2 = 1 AND p_size < 30),
+l AS (SELECT folder, name, coalesce(list(k) FILTER (k IS NOT NULL), []) AS ks, count(*) FILTER (k IS NULL) AS held FROM t GROUP BY 1, 2),
+m AS (SELECT p_partkey AS doc_id, p_brand AS folder, 'report v1.' || (p_size % 5) AS name, row_number() OVER (PARTITION BY p_brand, p_size % 5 ORDER BY p_partkey) - 1 AS r FROM part WHERE p_partkey % 2 = 0)
+SELECT doc_id, folder, CASE WHEN r + coalesce(held, 0) = 0 THEN name || '.txt' ELSE name || ' (' || list_filter(range(1, 100000), lambda x: NOT list_contains(coalesce(ks, []), x))[r + coalesce(held, 0)] || ').txt' END AS target_name FROM m LEFT JOIN l USING (folder, name)""",
 }

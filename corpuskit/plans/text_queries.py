@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from corpuskit.functions import constants as K
 from corpuskit.operators import keyword, queries as Q, search, vectors as V
 from corpuskit.plans import views as W
+from corpuskit.plans.scratch import Scratch
 
 
 def _list(words) -> str:
@@ -73,15 +74,21 @@ def postings(spark, d):
     return keyword.build_postings(W.cut_documents(spark, d), stem=False).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"), F.max("tf").alias("max_tf"))
 
 
+def _keyword_hits(chunks, asked, k, stem=False):
+    phrases = keyword.query_phrases(asked, stem)
+    found, lengths = keyword.read_index(chunks, phrases, stem)
+    return keyword.keyword_search(phrases, found, k, lengths=lengths)
+
+
 def keyword_topk(spark, d):
     """The best ten chunks of each query by BM25, without stemming so that SQL can follow."""
-    hits = keyword.keyword_search(keyword.query_phrases(W.queries(spark, d), stem=False), W.postings(W.cut_documents(spark, d)), 10)
+    hits = _keyword_hits(W.chunks(spark, d), W.queries(spark, d), 10)
     return hits.select("query_id", "chunk_id", F.round("bm25", 6).alias("bm25"), F.round(keyword.keyword_score(F.col("bm25")), 6).alias("score"), "rank")
 
 
 def keyword_topk_stemmed(spark, d):
     """The same with Porter stems, over a stemmed index."""
-    hits = keyword.keyword_search(keyword.query_phrases(W.queries(spark, d)), W.postings(W.cut_documents(spark, d), stem=True), 10)
+    hits = _keyword_hits(W.chunks(spark, d), W.queries(spark, d), 10, stem=True)
     return hits.select("query_id", "chunk_id", F.round("bm25", 6).alias("bm25"), "rank")
 
 
@@ -108,7 +115,7 @@ def _hybrid(spark, d, chunks=None):
     v = W.table(spark, d, "embeddings")
     asked = W.queries(spark, d)
     vectors = asked.join(v.select((F.col("vec_id") / 10).cast("long").alias("query_id"), "vec_id", "embedding").where("vec_id % 10 = 0"), "query_id")
-    kw = keyword.keyword_search(keyword.query_phrases(asked, stem=False), W.postings(W.cut_documents(spark, d) if chunks is None else chunks), 30)
+    kw = _keyword_hits(W.chunks(spark, d) if chunks is None else chunks, asked, 30)
     sem = V.vector_topk(vectors, v.withColumnRenamed("vec_id", "chunk_id"), 30).withColumn("chunk_id", F.concat(F.col("chunk_id").cast("string"), F.lit(":0")))
     return search.rrf_merge(kw, sem, 0.3, 0.7)
 
@@ -132,8 +139,11 @@ hy AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(rrf_sco
 
 def _reranked(spark, d, chunks=None):
     chunks = W.chunks(spark, d) if chunks is None else chunks
-    top = _hybrid(spark, d, chunks).where("rank <= 20")
-    return search.rerank(W.queries(spark, d), top.join(chunks.select("chunk_id"), "chunk_id", "left_semi"), chunks)
+    top = _hybrid(spark, d, chunks).where("rank <= 20").join(chunks.select("chunk_id"), "chunk_id", "left_semi")
+    scratch = Scratch(spark, "rerank")
+    top = scratch.table(top, "candidates")
+    held = scratch.table(chunks.join(top.select("chunk_id").distinct(), "chunk_id", "left_semi"), "chunks")
+    return search.rerank(W.queries(spark, d), top, held)
 
 
 def rerank_blend(spark, d):

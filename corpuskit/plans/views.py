@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corpuskit.operators.chunks import chunk_text
-from corpuskit.operators.keyword import build_postings
 from corpuskit.plans.scratch import Scratch
 
 
@@ -29,11 +28,6 @@ def chunks(spark: SparkSession, d: str) -> DataFrame:
     return Scratch(spark, "chunks").table(cut_documents(spark, d), "chunks")
 
 
-def postings(chunked: DataFrame, stem: bool = False) -> DataFrame:
-    """The index as a written table: a search reads it for hits, lengths and totals."""
-    return Scratch(chunked.sparkSession, "postings").table(build_postings(chunked, stem=stem), "postings")
-
-
 def queries(spark: SparkSession, d: str) -> DataFrame:
     """The first five words of each benchmark text."""
     words = F.slice(F.split("text", r"\s+"), 1, 5)

@@ -6,21 +6,28 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, functions as F
 
-from corpuskit.operators.graph import few
+from corpuskit.functions import text as T
+
 from corpuskit.sources.files import is_wanted_path
 
+#: Watched folders of one stream.
+MOST_WATCHED = 10_000
+
 
 def route_events(events: DataFrame, watched: DataFrame) -> DataFrame:
     """``(ts, path, old_path, action)`` of events ``(ts, event_type, path, dest_path)``; stateless, for streams and tables.
 
     Deletes act as they are. A move inside the watched folders is a rename, or a
     create if its source was no wanted file; a move out of them is a delete, one
-    into them a create. Unwanted paths are left out. ``watched`` is a table of a
-    few folders, joined by prefix; more than 10 000 are refused.
+    into them a create. Unwanted paths are left out. ``watched`` is the table of
+    watched folders, a setting: it becomes one broadcast row, so more than
+    ``MOST_WATCHED`` are refused.
     """
-    roots = few(watched.select(F.regexp_replace("path", "/+$", "").alias("_root")).distinct()).agg(F.collect_set("_root").alias("_roots"))
-    rows = events.join(F.broadcast(roots))
-    inside = lambda c: F.exists("_roots", lambda r: F.col(c).startswith(F.concat(r, F.lit("/"))))
+    roots = watched.select(F.regexp_replace("path", "/+$", "").alias("_root")).distinct()
+    if roots.count() > MOST_WATCHED:
+        raise ValueError(f"more than {MOST_WATCHED} watched folders")
+    rows = events.join(F.broadcast(roots.agg(F.collect_set("_root").alias("_roots"))))
+    inside = lambda c: F.arrays_overlap(T.ancestors(F.col(c)), "_roots")
     moved = F.col("event_type") == "moved"
     source_ok = inside("path") & is_wanted_path(F.col("path"))
     dest_ok = F.coalesce(inside("dest_path") & is_wanted_path(F.col("dest_path")), F.lit(False))
