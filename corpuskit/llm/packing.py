@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from corpuskit.llm._text import read
+from corpuskit.llm._text import read, tidy
 from corpuskit.llm.tokens import coded, default_tokenizer
 from corpuskit.plans.scratch import Scratch
 
@@ -43,7 +43,7 @@ def cut(docs: DataFrame, tokenizer: str, window: int, id_col: str = "doc_id", te
             columns = [batch.column("doc_id").take(pa.array(row)), pa.array(at, pa.int64()), pa.array(size, pa.int64()), pa.array(crc, pa.int64()), pa.array(total[row], pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, PIECES)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidy(run), PIECES)
 
 
 class CapacityTree:
@@ -125,8 +125,12 @@ def place(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
     plan = best_fit_decreasing(counts, window)
     groups = max(1, sum(counts.values()) // RANK_GROUP)
     dealt = pieces.withColumn("g", F.pmod(F.xxhash64("doc_id", "start"), F.lit(groups)))
-    before = Window.partitionBy("length").orderBy("g").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = dealt.groupBy("length", "g").agg(F.count("*").alias("n")).select("length", "g", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    before = lambda *c: Window.partitionBy(*c[:-1]).orderBy(c[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    # Sums over ranges of groups first, so that no window runs over all groups of a common length.
+    sizes = dealt.groupBy("length", "g").agg(F.count("*").alias("n")).withColumn("range", F.floor(F.sqrt("g")))
+    wide = sizes.groupBy("length", "range").agg(F.sum("n").alias("n")).select("length", "range", F.coalesce(F.sum("n").over(before("length", "range")), F.lit(0)).alias("wide"))
+    offsets = sizes.withColumn("inner", F.coalesce(F.sum("n").over(before("length", "range", "g")), F.lit(0))).join(wide, ["length", "range"])
+    offsets = offsets.select("length", "g", (F.col("wide") + F.col("inner")).alias("base"))
     ranked = dealt.withColumn("r", F.row_number().over(Window.partitionBy("length", "g").orderBy("doc_id", "start", "ids_crc32")) - 1)
     ranked = ranked.join(offsets, ["length", "g"]).withColumn("rank", F.col("base") + F.col("r")).drop("g", "r", "base")
     shift = 1 << 44
