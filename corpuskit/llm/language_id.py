@@ -18,13 +18,14 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from corpuskit.llm._text import read, slices, texts
+from corpuskit.llm._text import read, slices, texts, tidy
 from corpuskit.plans.scratch import Scratch
 
-#: Labelled rows that the text model is fitted on: those with the least hashes of their ids.
-SAMPLE_ROWS = 4000
+#: Labelled rows of each language that the text model is fitted on, those with the least hashes of their ids, and
+#: languages it has at most, those with most rows.
+SAMPLE_ROWS, MOST_LANGUAGES = 1000, 200
 #: Hash buckets of byte trigrams.
 BUCKETS = 1 << 16
 #: A text of many trigrams counts as this many independent ones.
@@ -78,12 +79,25 @@ class TextModel:
         return out / np.maximum(n, 1)[:, None] * (n / (1 + n / EVIDENCE))[:, None]
 
 
+def language_of(label: Column) -> Column:
+    """A declared or labelled language without its region: ``en`` of ``en-US`` and ``EN_gb``; null if there is none."""
+    return F.nullif(F.lower(F.regexp_extract(F.coalesce(label, F.lit("")), r"^\s*([A-Za-z]+)", 1)), F.lit(""))
+
+
 def fit(labelled: DataFrame, text_col: str, lang_col: str, id_col: str) -> TextModel:
-    """Fits the text model on at most SAMPLE_ROWS labelled rows, chosen by the hash of their ids."""
-    ids = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(id_col).alias("h"))
-    picked = ids.orderBy("h", "id").limit(SAMPLE_ROWS).select("id")
-    rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    rows = rows.join(F.broadcast(picked), "id", "left_semi")  # SAMPLE_ROWS ids
+    """Fits the text model on at most SAMPLE_ROWS labelled rows of each language, chosen by the hash of their ids.
+
+    So a rare language is fitted as a common one is. Labels count without their
+    region. The least hashes are found by their rank within ranges of hashes:
+    no task sorts all rows of a language.
+    """
+    rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), language_of(F.col(lang_col)).alias("lang")).where("text is not null and lang is not null")
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), "lang").limit(MOST_LANGUAGES)
+    # Some four times as many rows as are wanted lie below this share of the hash range, and fewer than wanted practically never.
+    hashed = rows.join(F.broadcast(sizes), "lang").withColumn("h", F.xxhash64("id")).where(F.col("h") / float(2**63) <= 8 * SAMPLE_ROWS / F.col("rows") - 1)
+    best = Window.partitionBy("lang").orderBy("h", "id")
+    picked = hashed.select("id", "lang", "h").withColumn("r", F.row_number().over(best)).where(F.col("r") <= SAMPLE_ROWS).select("id", "lang")
+    rows = rows.join(F.broadcast(picked), ["id", "lang"], "left_semi")  # SAMPLE_ROWS ids of MOST_LANGUAGES languages
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, limit=SLICE):
@@ -96,7 +110,7 @@ def fit(labelled: DataFrame, text_col: str, lang_col: str, id_col: str) -> TextM
                 found, n = np.unique(got[got < BUCKETS], return_counts=True)
                 yield pa.RecordBatch.from_pydict({"lang": [lang] * len(found), "bucket": pa.array(found, pa.int32()), "n": pa.array(n, pa.int64())})
 
-    counts = rows.select("text", "lang").mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    counts = rows.select("text", "lang").mapInArrow(tidy(count), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     got = counts.toPandas()  # BUCKETS rows per language of the sample at most
     languages = tuple(sorted(got["lang"].unique()))
     table = np.full((len(languages) + 1, BUCKETS), -np.log(BUCKETS))
@@ -118,7 +132,7 @@ def text_evidence(rows: DataFrame, model: TextModel) -> DataFrame:
             found = held.evidence(texts(batch))
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("declared"), batch.column("host"), pc.match_substring_regex(texts(batch), r"\p{L}"), pa.array(list(found), pa.list_(pa.float64()))], names=["id", "declared", "host", "letters", "evidence"])
 
-    return rows.select("id", "text", "declared", "host").mapInArrow(run, "id long, declared string, host string, letters boolean, evidence array<double>")
+    return rows.select("id", "text", "declared", "host").mapInArrow(tidy(run), "id long, declared string, host string, letters boolean, evidence array<double>")
 
 
 def _best(score: list[Column], names: list[str]) -> Column:
@@ -148,7 +162,7 @@ def identify(rows: DataFrame, model: TextModel) -> DataFrame:
     scored = scored.withColumns(
         {
             "text_language": F.when(~F.col("letters"), F.lit(UNKNOWN)).otherwise(_best([*langs, unknown + float(np.log(UNKNOWN_PRIOR))], [*names, UNKNOWN])),
-            "told": F.lower(F.regexp_extract(F.coalesce("declared", F.lit("")), r"^\s*([A-Za-z]+)", 1)),
+            "told": language_of(F.col("declared")),
             "suffix": F.when(F.size(parts) > 1, F.element_at(parts, -1)).otherwise(F.lit("")),
             "domain": F.when(F.size(parts) > 1, F.array_join(F.slice(parts, -2, 2), ".")).otherwise(host),
             "host": host,
@@ -211,10 +225,10 @@ def pages_as_rows(pages: DataFrame) -> DataFrame:
             text = [_TAGS.sub(b" ", x).decode("utf-8", "replace") for x in texts(batch, "html").cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(text, pa.string()), batch.column("declared"), batch.column("host")], names=["id", "text", "declared", "host"])
 
-    declared = F.regexp_extract(F.coalesce("html", F.lit("")), r"(?i)<html\b[^>]{0,500}?\slang\s*=\s*[\"']?([A-Za-z-]+)", 1)
+    declared = F.regexp_extract(F.coalesce("html", F.lit("")), r"(?i)<html\b[^>]*?\slang\s*=\s*[\"']?([A-Za-z-]+)", 1)
     host = F.regexp_extract(F.coalesce("url", F.lit("")), r"(?i)^[a-z][a-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1)
     rows = pages.select(F.col("page_id").cast("long").alias("id"), "html", F.nullif(declared, F.lit("")).alias("declared"), F.nullif(host, F.lit("")).alias("host"))
-    return rows.mapInArrow(run, "id long, text string, declared string, host string")
+    return rows.mapInArrow(tidy(run), "id long, text string, declared string, host string")
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,10 @@
 """Language identification: held-out accuracy, and defined results for odd rows."""
 
+import math
 import random
+from collections import Counter
+
+import pytest
 
 from corpuskit.llm import language_id as li
 
@@ -68,8 +72,42 @@ def test_priors_equal_plain_counts(spark):
         assert abs(got[i].confidence - want) < 1e-4, (rows[i], got[i])
 
 
+def grams(text):
+    """The trigrams of a text, counted byte by byte, by bucket."""
+    raw = [32 if 9 <= c <= 13 else c + 32 if 65 <= c <= 90 else c for c in (text or "").encode()]
+    letter, blank = (lambda c: c >= 128 or 97 <= c <= 122), (lambda c: c == 32)
+    for x in zip(raw, raw[1:], raw[2:]):
+        if all(letter(c) or blank(c) for c in x) and not all(blank(c) for c in x):
+            yield ((x[0] << 16 | x[1] << 8 | x[2]) * 2654435761 % 2**32) >> 16
+
+
+def test_evidence_equals_plain_counts(spark):
+    rows, train = corpus(spark, 1, 60, 30)
+    model = li.fit(train, "text", "lang", "doc_id")
+    counts = {lang: Counter(g for _, t, k in rows if k == lang for g in grams(t)) for lang in STEMS}
+    asked = [(1, "the keitère QUE"), (2, None), (3, "a 1 b-c\n\tx"), (4, rows[0][1] * 3), (5, "é")]
+    got = {x.id: x.evidence for x in li.text_evidence(spark.createDataFrame([(i, t, None, None) for i, t in asked], ROWS), model).collect()}
+    for i, text in asked:
+        found = list(grams(text))
+        weight = len(found) / (1 + len(found) / li.EVIDENCE) / max(1, len(found))
+        p = lambda lang, g: (1 - li.UNIFORM) * counts[lang][g] / counts[lang].total() + li.UNIFORM / li.BUCKETS
+        want = [weight * sum(math.log(p(lang, g)) for g in found) for lang in sorted(STEMS)] + [-weight * len(found) * math.log(li.BUCKETS)]
+        assert got[i] == pytest.approx(want, rel=1e-4, abs=1e-4)
+
+
+def test_labels_count_without_region_and_rare_ones_are_fitted(spark, monkeypatch):
+    monkeypatch.setattr(li, "SAMPLE_ROWS", 20)
+    r = random.Random(8)
+    label = {"en": ["en-US", "EN_gb", "en"], "fr": ["fr-FR", "fr"]}
+    rows = [(i, sentence(k, r, 40), r.choice(label[k])) for i in range(400) for k in [("fr" if i % 100 == 7 else "en")]]
+    model = li.fit(spark.createDataFrame([*rows, (900, "x", ""), (901, None, "de")], "doc_id long, text string, lang string"), "text", "lang", "doc_id")
+    assert model.languages == ("en", "fr")
+    got = li.identify(spark.createDataFrame([(1, "eau que ère ou eauque", "fr-FR", "a.b")], ROWS), model).first()
+    assert (got.language, got.kept) == ("fr", True)
+
+
 def test_pages(spark):
-    pages = spark.createDataFrame([(1, "https://me@www.Eau.FR:8080/x", '<html class="a" lang="fr-CA"><script>var t="</p>"</script><p>eau</p>'), (2, None, None), (3, "x", "")], "page_id long, url string, html string")
+    pages = spark.createDataFrame([(1, "https://me@www.Eau.FR:8080/x", '<html class="' + "a" * 3000 + '" lang="fr-CA"><script>var t="</p>"</script><p>eau</p>'), (2, None, None), (3, "x", "")], "page_id long, url string, html string")
     got = {x.id: x for x in li.pages_as_rows(pages).collect()}
     assert (got[1].declared, got[1].host, got[1].text.split()) == ("fr-CA", "www.Eau.FR", ["eau"])
     assert got[2].declared is None and got[2].host is None and got[2].text == ""
