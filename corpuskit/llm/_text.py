@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import contextlib
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +31,22 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
                 yield batch.slice(a, b - a)
 
 
+def tidy(fn: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A task function that gives freed memory back to the system at its end.
+
+    Spark keeps Python workers for later tasks; idle ones would hold what the
+    allocators of their last task keep beside the stages that follow.
+    """
+
+    def run(batches: Iterator) -> Iterator:
+        yield from fn(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return run
+
+
 def texts(batch: pa.RecordBatch, column: str = "text") -> pa.Array:
     """The texts with null as the empty string."""
     return pc.fill_null(batch.column(column), "")

@@ -19,7 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corpuskit.llm._text import read, slices, texts
+from corpuskit.llm._text import read, slices, texts, tidy
 from corpuskit.plans.scratch import Scratch
 
 #: Distinct digests of either side that one bucket holds on average, at most.
@@ -42,7 +42,7 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             )
 
     kind = dict(docs.dtypes)[id_col]
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, digest binary, n_points long")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidy(run), f"id {kind}, digest binary, n_points long")
 
 
 def _best(df: DataFrame, key: str = "digest") -> DataFrame:

@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from corpuskit.llm._text import gram_hashes, hash_words, list_array, mix, read, slices, texts, words
+from corpuskit.llm._text import gram_hashes, hash_words, list_array, mix, read, slices, texts, tidy, words
 from corpuskit.operators.components import connected_components
 from corpuskit.plans.scratch import Scratch
 
@@ -99,7 +99,7 @@ def _map_sets(docs: DataFrame, fn, schema: str, n: int, carry: tuple[str, ...] =
         for batch in slices(batches, limit=SLICE):
             yield from fn(batch, shingle_sets(texts(batch), n))
 
-    return docs.select("id", "text", *carry).mapInArrow(run, schema)
+    return docs.select("id", "text", *carry).mapInArrow(tidy(run), schema)
 
 
 def summarise(docs: DataFrame, n: int) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from corpuskit.llm._text import read
+from corpuskit.llm._text import read, tidy
 from corpuskit.llm.tokens import Coded, coded, default_tokenizer
 from corpuskit.plans.scratch import Scratch
 
@@ -68,7 +68,7 @@ def _stage(docs: DataFrame, tokenizer: str) -> DataFrame:
             }
             yield pa.RecordBatch.from_pylist([row], schema)
 
-    return docs.mapInArrow(run, _STAGED)
+    return docs.mapInArrow(tidy(run), _STAGED)
 
 
 def _ranked(staged: DataFrame, order: np.ndarray) -> DataFrame:
@@ -90,7 +90,7 @@ def _ranked(staged: DataFrame, order: np.ndarray) -> DataFrame:
                 out = {"part": row["part"], "seq": row["seq"], "doc_ids": row["doc_ids"], "sizes": np.diff(start).tolist(), "control": [p[0] for p in parts], "data": [p[1] for p in parts]}
                 yield pa.RecordBatch.from_pylist([out], schema)
 
-    return staged.drop("ids", "uses").mapInArrow(run, BLOCKS)
+    return staged.drop("ids", "uses").mapInArrow(tidy(run), BLOCKS)
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> None:

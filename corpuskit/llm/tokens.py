@@ -21,7 +21,7 @@ from corpuskit.llm._text import hash_words, slices, texts
 #: Pieces that one worker remembers between slices; some 60 bytes each.
 REMEMBERED = 1_000_000
 #: Bytes of text in one slice: the larger, the fewer words are looked up twice.
-SLICE = 5_000_000
+SLICE = 4_000_000
 #: Texts with white space before a blank, or other white space than these four, are encoded whole.
 _ODD = "[ \\t\\n\\r] |[\\x0b\\x0c\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
 _TAIL = ",.!?;:"
