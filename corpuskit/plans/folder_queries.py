@@ -35,7 +35,8 @@ def focal_subgraph(spark, d):
 
 
 def pair_scores(spark, d):
-    return _pairs(spark, d).select("doc_id", "folder", P.score_pair(F.col("graph"), F.col("rerank")).alias("score"))
+    """Single pairs; the factor keeps scores off the halves that engines round apart."""
+    return _pairs(spark, d).select("doc_id", "folder", P.score_pair(F.col("graph"), F.col("rerank") * 0.9973).alias("score"))
 
 
 def audit_progress(spark, d):
@@ -168,7 +169,7 @@ ORACLES = {
     "small_talk": f"SELECT conv_id, turn, regexp_matches(text, '{_TALK}', 'i') OR len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')) < 3 AS small FROM conversations",
     "relationship_replies": "SELECT p_partkey AS reply_id, upper(p_name) AS source, p_brand AS target, 'DEPENDS_ON' AS relationship_type, CAST(0.5 AS DOUBLE) AS confidence FROM part WHERE p_partkey % 3 < 2",
     "focal_subgraph": W.sql(", nb AS (SELECT 'n' || n_nationkey AS seed, 'n' || n_nationkey AS id FROM nation UNION SELECT 'n' || n_nationkey, nxt FROM nation JOIN v_both ON id = 'n' || n_nationkey) SELECT seed, id FROM (SELECT seed, id, row_number() OVER (PARTITION BY seed ORDER BY confidence DESC, id) AS n FROM nb JOIN v_entities USING (id)) WHERE n <= 20", "v_both", "v_entities"),
-    "pair_scores": W.sql(_PAIRS + " SELECT doc_id, folder, CAST(CASE WHEN graph < 0.1 THEN 0 ELSE round(CAST(0.75 * graph + 0.25 * rerank AS DECIMAL(18, 10)), 4) END AS DOUBLE) AS score FROM pr", "v_terms"),
+    "pair_scores": W.sql(_PAIRS + " SELECT doc_id, folder, CASE WHEN graph < 0.1 THEN 0 ELSE round(0.75 * graph + 0.25 * rerank * 0.9973, 4) END AS score FROM pr", "v_terms"),
     "audit_progress": _PATHS + "SELECT count_if(doc_id % 3 = 0)::BIGINT AS analysed, count(*) AS total, count_if(doc_id % 9 = 0)::BIGINT AS found FROM el",
     "decided_recommendations": _RECOMMENDED + "SELECT id, CASE WHEN id % 3 = 0 AND status = 'pending' THEN 'accepted' ELSE status END AS status, CASE WHEN id % 3 = 0 AND status = 'pending' THEN '/ws/' || lang END AS accepted_folder FROM re",
     "valid_targets": _RECOMMENDED + "SELECT id, CASE WHEN status = 'pending' AND source = 'src1' THEN 'dismissed' ELSE status END AS status, CASE WHEN status = 'pending' THEN CASE WHEN source = 'src1' THEN 0 ELSE 1 END ELSE 2 END::BIGINT AS n FROM re",
