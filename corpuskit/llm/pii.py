@@ -96,6 +96,18 @@ def _confirm(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
+def _confirmed(kind: str, m: Column) -> Column:
+    """What a check confirms of a match, or null: an IBAN may end at any of the match's blanks, the longest is taken.
+
+    The rest of such a match, further capitals and digits, is not searched again.
+    """
+    if kind != "iban":
+        return F.when(_confirm(kind, m), m)
+    words = F.split(m, " ")
+    ends = F.transform(F.sequence(F.lit(1), F.size(words)), lambda i: F.array_join(F.slice(words, F.lit(1), i), " "))
+    return F.try_element_at(F.filter(ends, lambda e: _confirm(kind, e)), F.lit(-1))
+
+
 SPAN = "array<struct<kind:string,start:int,end:int,score:double>>"
 
 
@@ -105,11 +117,12 @@ def _spans(text: Column, k: Kind) -> Column:
 
     def walk(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["0"])
-        span = F.struct(start.alias("start"), (start + F.length(x["1"])).alias("end"), x["1"].alias("m"), F.right(F.concat(acc["tail"], x["0"]), F.lit(WINDOW)).alias("before"))
+        told = _confirmed(k.name, x["1"])
+        span = F.struct(start.alias("start"), (start + F.length(told)).alias("end"), F.right(F.concat(acc["tail"], x["0"]), F.lit(WINDOW)).alias("before"))
         tail = F.right(F.concat(acc["tail"], x["0"], x["1"]), F.lit(WINDOW))
-        return F.struct((start + F.length(x["1"])).alias("at"), tail.alias("tail"), F.when(_confirm(k.name, x["1"]), F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+        return F.struct((start + F.length(x["1"])).alias("at"), tail.alias("tail"), F.when(told.isNotNull(), F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
 
-    first = F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), F.array().cast("array<struct<start:int,end:int,m:string,before:string>>").alias("out"))
+    first = F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), F.array().cast("array<struct<start:int,end:int,before:string>>").alias("out"))
     pairs = F.arrays_zip(F.slice(parts, F.lit(1), F.size(found)).alias("0"), found.alias("1"))
     walked = F.aggregate(pairs, first, walk)["out"]
     scored = F.transform(walked, lambda s: F.struct(F.lit(k.name).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.when(s["before"].rlike(k.near), F.lit(k.near_score)).otherwise(F.lit(k.base)).alias("score")))
@@ -154,7 +167,7 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Personal data of every document: counts and spans of the base kinds, and all spans."""
+    """Personal data of every document: counts and spans of the base kinds, all spans, and the score of each."""
     found = find_pii(read(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
     counts = [F.size(f"pii_{n}").cast("long").alias(f"n_{n}") for n in BASE]
-    return found.select("doc_id", *counts, F.sha2(_join(BASE), 256).alias("base_sha256"), _join(tuple(k.name for k in KINDS)).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(_join(BASE), 256).alias("base_sha256"), _join(tuple(k.name for k in KINDS)).alias("spans"), F.array_join(F.transform(F.concat(*(F.col(f"pii_{k.name}.score") for k in KINDS)), lambda s: s.cast("string")), ",").alias("scores"))

@@ -8,15 +8,19 @@ from a placeholder.
 
 from __future__ import annotations
 
+import functools
+import json
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corpuskit.llm._text import read, slices, texts
+from corpuskit.llm.tokens import default_tokenizer
 
 ASSIGN = re.compile(rb"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I)
 ASSIGN_WORDS = (b"password", b"passwd", b"secret", b"token", b"api_key", b"apikey")
@@ -34,22 +38,40 @@ WORDS = (
     "summer winter spring autumn love sunshine princess football baseball shadow michael jordan superman batman"
 ).split()
 ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm")
-RANK = {w: i + 1 for i, w in enumerate(WORDS)}
 NEXT = {a + b for row in ROWS for a, b in [*zip(row, row[1:]), *zip(row[::-1], row[-2::-1])]}
 DATE = re.compile(r"(?:19|20)\d\d(?:[-/.]?(?:0[1-9]|1[0-2])(?:[-/.]?(?:0[1-9]|[12]\d|3[01]))?)?")
 #: A value counts as a secret from 10 to this power guesses on.
 GUESSES_LOG10 = 8.0
 #: A longer repeat or walk is several parts, so that a long value takes linear time.
 LONGEST_PART = 64
-_LONGEST_WORD = max(map(len, WORDS))
 
 
-def _parts(value: str, at: int) -> Iterator[tuple[int, float, str]]:
+class Dictionary:
+    """Words by their rank in a guesser's list: the common ones, then further ones given in order of use."""
+
+    def __init__(self, further: Iterable[str] = ()):
+        self.rank = {w: i + 1 for i, w in enumerate(dict.fromkeys([*WORDS, *further]))}
+        self.longest = max(map(len, self.rank))
+
+
+COMMON = Dictionary()
+
+
+@functools.cache
+def vocabulary(path: str) -> Dictionary:
+    """The whole words of a byte-level BPE file: those merged first are the most used."""
+    with open(path, encoding="utf-8") as f:
+        ids = json.load(f)["model"]["vocab"]
+    words = (w[1:].lower() for w in sorted(ids, key=ids.get) if w.startswith("\u0120"))
+    return Dictionary(w for w in words if len(w) >= 3 and w.isascii() and w.isalpha())
+
+
+def _parts(value: str, at: int, words: Dictionary = COMMON) -> Iterator[tuple[int, float, str]]:
     """Parts that start at a place: (end, log10 of guesses, kind)."""
-    low, n = value.lower(), len(value)
-    for end in range(at + 3, min(n, at + _LONGEST_WORD) + 1):
-        if rank := RANK.get(low[at:end]):
-            upper = 0.3 * (value[at:end] != low[at:end])
+    low, n = value[at : at + max(words.longest, LONGEST_PART)].lower(), len(value)
+    for end in range(at + 3, min(n, at + words.longest) + 1):
+        if rank := words.rank.get(low[: end - at]):
+            upper = 0.3 * (value[at:end] != low[: end - at])
             yield end, math.log10(rank + 1) + upper, "word"
     for m in [DATE.match(value, at)] if value[at] in "12" else []:
         if m:
@@ -60,7 +82,7 @@ def _parts(value: str, at: int) -> Iterator[tuple[int, float, str]]:
     if end - at >= 3:
         yield end, math.log10(_size(value[at]) * (end - at)), "repeat"
     end = at + 1
-    while end < min(n, at + LONGEST_PART) and low[end - 1 : end + 1] in NEXT:
+    while end < min(n, at + LONGEST_PART) and low[end - 1 - at : end + 1 - at] in NEXT:
         end += 1
     if end - at >= 3:
         yield end, math.log10(40 * (end - at)), "walk"
@@ -70,48 +92,52 @@ def _size(c: str) -> int:
     return 10 if c.isdigit() else 26 if c.isalpha() else 33
 
 
-def guess_cost(value: str) -> tuple[float, list[tuple[int, int, str]]]:
+def guess_cost(value: str, words: Dictionary = COMMON) -> tuple[float, list[tuple[int, int, str]]]:
     """log10 of the guesses that the cheapest segmentation needs, and its parts ``(start, end, kind)``.
 
     Brute-force characters cost the size of their class each; each further part
     costs a little, as a guesser must choose the sequence of kinds too. The
-    empty value costs 0.
+    least cost up to each place is kept twice: with a brute-force part at the
+    end, which the next character may continue, and with another. The empty
+    value costs 0.
     """
     n = len(value)
-    best, back = [0.0] + [math.inf] * n, [(0, "")] * (n + 1)
+    best = [[0.0, math.inf]] + [[math.inf, math.inf] for _ in range(n)]  # by whether the last part is brute force
+    back: list[list[tuple[int, int, str]]] = [[(0, 0, ""), (0, 0, "")] for _ in range(n + 1)]
     for at in range(n):
-        brute = best[at] + math.log10(_size(value[at]))
-        brute += 0.0 if at and back[at][1] == "brute" else 0.3
-        if brute < best[at + 1]:
-            best[at + 1], back[at + 1] = brute, (at, "brute")
-        for end, cost, kind in _parts(value, at):
-            if best[at] + cost + 0.3 < best[end]:
-                best[end], back[end] = best[at] + cost + 0.3, (at, kind)
-    out, at = [], n
+        single, low = math.log10(_size(value[at])), int(best[at][1] < best[at][0])
+        for last, cost in ((0, best[at][0] + single + 0.3), (1, best[at][1] + single)):
+            if cost < best[at + 1][1]:
+                best[at + 1][1], back[at + 1][1] = cost, (at, last, "brute")
+        for end, cost, kind in _parts(value, at, words):
+            if best[at][low] + cost + 0.3 < best[end][0]:
+                best[end][0], back[end][0] = best[at][low] + cost + 0.3, (at, low, kind)
+    out, at, last = [], n, int(best[n][1] < best[n][0])
+    total = best[n][last]
     while at:
-        start, kind = back[at]
-        if out and kind == "brute" and out[-1][2] == "brute":
+        start, before, kind = back[at][last]
+        if out and kind == "brute" and out[-1][2] == "brute" and out[-1][0] == at:
             out[-1] = (start, out[-1][1], kind)
         else:
             out.append((start, at, kind))
-        at = start
-    return best[n], out[::-1]
+        at, last = start, before
+    return total, out[::-1]
 
 
-def scan(raw: bytes) -> list[tuple[str, int, int, float]]:
+def scan(raw: bytes, words: Dictionary = COMMON) -> list[tuple[str, int, int, float]]:
     """Spans ``(kind, start, end, guesses_log10)`` of one UTF-8 text, in bytes; base kinds first."""
     found, low = [], raw.lower()
     if any(w in low for w in ASSIGN_WORDS):
         for m in ASSIGN.finditer(raw):
             if len(m[2]) >= 6:
-                found.append(("assign", *m.span(), guess_cost(m[2].decode())[0]))
+                found.append(("assign", *m.span(), guess_cost(m[2].decode(), words)[0]))
     if b"AKIA" in raw:
         found += [("access", *m.span(), 0.0) for m in ACCESS.finditer(raw) if len(m[0]) >= 20]
     if b"h" * 24 in raw.translate(_HEXES):
         found += [("hex", *m.span(), 0.0) for m in HEX.finditer(raw)]
     if any(w in low for w in CONTEXT_WORDS):
         for m in CONTEXT.finditer(raw):
-            cost = guess_cost(m[1].decode())[0]
+            cost = guess_cost(m[1].decode(), words)[0]
             if cost >= GUESSES_LOG10:
                 found.append(("value", *m.span(1), cost))
     return found
@@ -120,22 +146,29 @@ def scan(raw: bytes) -> list[tuple[str, int, int, float]]:
 SPAN = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("guesses_log10", pa.float64())]))
 
 
-def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _points(raw: bytes) -> np.ndarray | None:
+    """How many code points stand before each byte of a UTF-8 text; None if they are as many as bytes."""
+    return None if raw.isascii() else np.cumsum(np.r_[0, (np.frombuffer(raw, np.uint8) & 0xC0) != 0x80])
+
+
+def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary_file: str | None = None) -> DataFrame:
     """``(id_col, secrets array<struct<kind, start, end, guesses_log10>>)``, places in code points.
 
-    Kinds: assign, access, hex and value, in this order, then by start. Null
-    and empty texts have an empty array; repeated ids give repeated rows; other
-    columns are not read.
+    Kinds: assign, access, hex and value, in this order, then by start. Guess
+    costs know the words of ``vocabulary_file``. Null and empty texts have an
+    empty array; repeated ids give repeated rows; other columns are not read.
     """
-    kind = dict(docs.dtypes)[id_col]
+    kind, path = dict(docs.dtypes)[id_col], vocabulary_file or default_tokenizer()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = vocabulary(path)
         for batch in slices(batches):
             out = []
             for raw in texts(batch).cast(pa.binary()).to_pylist():
-                spans, plain = scan(raw), raw.isascii()
-                point = (lambda i: i) if plain else (lambda i, raw=raw: len(raw[:i].decode()))
-                out.append([{"kind": k, "start": point(a), "end": point(b), "guesses_log10": c} for k, a, b, c in spans])
+                spans = scan(raw, held)
+                points = _points(raw) if spans else None
+                at = (lambda i: i) if points is None else (lambda i, points=points: int(points[i]))
+                out.append([{"kind": k, "start": at(a), "end": at(b), "guesses_log10": c} for k, a, b, c in spans])
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out, SPAN)], names=["id", "secrets"])
 
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -143,11 +176,11 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Secrets of every document: counts and digest of the base kinds, and all spans."""
+    """Secrets of every document: counts and digest of the base kinds, all spans, and log10 of the guesses of each."""
     found = find_secrets(read(spark, sf_dir, "documents").select("doc_id", "text"))
     base = ("assign", "access", "hex")
-    order = lambda s: F.struct(s["start"].alias("start"), F.array_position(F.array(*map(F.lit, (*base, "value"))), s["kind"]).alias("k"), s["kind"].alias("kind"), s["end"].alias("end"))
+    order = lambda s: F.struct(s["start"].alias("start"), F.array_position(F.array(*map(F.lit, (*base, "value"))), s["kind"]).alias("k"), s["kind"].alias("kind"), s["end"].alias("end"), s["guesses_log10"].alias("cost"))
     ordered = F.array_sort(F.transform("secrets", order))
     joined = lambda a: F.array_join(F.transform(a, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     count = lambda k: F.size(F.filter("secrets", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
-    return found.select("doc_id", *map(count, base), F.sha2(joined(F.filter(ordered, lambda s: s["kind"] != "value")), 256).alias("base_sha256"), joined(ordered).alias("spans"))
+    return found.select("doc_id", *map(count, base), F.sha2(joined(F.filter(ordered, lambda s: s["kind"] != "value")), 256).alias("base_sha256"), joined(ordered).alias("spans"), F.array_join(F.transform(ordered, lambda s: F.format_string("%.2f", s["cost"])), ",").alias("guesses_log10"))

@@ -62,9 +62,10 @@ def test_pii_equals_plain_patterns(spark, tmp_path):
 
 
 def test_pii_checksums_and_context(spark):
-    df = spark.createDataFrame([(1, "my IBAN DE89370400440532013000 and DE88370400440532013000"), (2, "card 378282246310005"), (3, "nr 378282246310005")], "doc_id long, text string")
+    df = spark.createDataFrame([(1, "my IBAN DE89370400440532013000 and DE88370400440532013000"), (2, "card 378282246310005"), (3, "nr 378282246310005"), (4, "AT61 1904 3002 3457 3201 CODE and é AT611904300234573201 CODE NAME or GB82 WEST 1234 5698 7654 32")], "doc_id long, text string")
     rows = {x.doc_id: x for x in pii.find_pii(df).collect()}
     assert [(s.start, s.end, s.score) for s in rows[1].pii_iban] == [(8, 30, 1.0)]
+    assert [(s.start, s.end) for s in rows[4].pii_iban] == [(0, 24), (36, 56), (70, 97)]
     assert len(rows[2].pii_short_card) == 1 and not rows[3].pii_short_card
 
 
@@ -113,14 +114,23 @@ def test_guess_cost_is_the_minimum():
         import math
 
         best = math.log10(secrets._size(value[at])) + (0.0 if before == "brute" else 0.3) + brute(value, at + 1, "brute")
-        for end, cost, kind in secrets._parts(value, at):
+        for end, cost, kind in secrets._parts(value, at, words):
             best = min(best, cost + 0.3 + brute(value, end, kind))
         return best
 
     r = random.Random(5)
-    for _ in range(100):
+    words = secrets.Dictionary(["passw", "word", "rty2", "zzx"])
+    for _ in range(150):
         v = "".join(r.choice(["pass", "word", "a", "1", "12", "qwe", "rty", "2001", "zz", "X"]) for _ in range(4))
-        assert secrets.guess_cost(v)[0] <= brute(v) + 0.31
+        cost, parts = secrets.guess_cost(v, words)
+        assert cost == pytest.approx(brute(v))
+        assert [a for a, _, _ in parts] == [0, *(b for _, b, _ in parts[:-1])] and parts[-1][1] == len(v)
+
+
+def test_vocabulary_words_are_cheap():
+    words = secrets.vocabulary(secrets.default_tokenizer())
+    assert len(words.rank) > 10_000 and words.rank["password"] == 1
+    assert secrets.guess_cost("mountainwindow", words)[0] < 9.5 < secrets.guess_cost("mountainwindow")[0]
 
 
 LONG = hashlib.sha512(b"1").hexdigest() * 8
