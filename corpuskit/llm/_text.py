@@ -10,12 +10,16 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corpuskit.plans.scratch import Scratch
 
 #: Bytes of text that a task holds decoded at a time; one longer text is held alone.
 SLICE_BYTES = 6_000_000
+#: Punctuation that may close a word, and words of several lines.
+TAIL, LINES = ",.!?;:", r"^ ?[^\s\x0b]+(?:\n[^\s\x0b]+)+$"
+#: Words whose ids one worker remembers between slices; some 60 bytes each.
+REMEMBERED = 1_000_000
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -31,6 +35,13 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
                 yield batch.slice(a, b - a)
 
 
+def release() -> None:
+    """Give memory that the allocators keep free back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def tidy(fn: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """A task function that gives freed memory back to the system at its end.
 
@@ -40,13 +51,23 @@ def tidy(fn: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
 
     def run(batches: Iterator) -> Iterator:
         yield from fn(batches)
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        release()
 
     return run
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Arrow batches of few rows for the tables that are written inside: texts are long, and JVM and Python each hold a batch."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def texts(batch: pa.RecordBatch, column: str = "text") -> pa.Array:
     """The texts with null as the empty string."""
     return pc.fill_null(batch.column(column), "")
@@ -139,3 +160,82 @@ def without(rows: DataFrame, dropped: DataFrame, id_col: str) -> DataFrame:
     table = Scratch(rows.sparkSession, "dropped").table(dropped.where(F.col(id_col).isNotNull()).distinct(), "ids")
     side = F.broadcast(table) if table.count() <= BROADCAST_IDS else table
     return rows.join(side, id_col, "left_anti").select(*rows.columns)
+
+
+def gather(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Concatenation of ``flat[s : s + n]`` for each place."""
+    shift = np.repeat(start - np.concatenate([[0], np.cumsum(size)])[:-1], size)
+    return flat[shift + np.arange(len(shift))]
+
+
+def word_parts(items: pa.Array, lines: bool) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """What items are cut into: codes item by item, how many each has, and the distinct parts.
+
+    Punctuation that closes a word is a part of its own; with ``lines`` so is a
+    single newline between visible characters.
+    """
+    many = pc.match_substring_regex(items, LINES).to_numpy(zero_copy_only=False) & lines
+    split = pc.split_pattern(items.filter(pa.array(many)), "\n")
+    n = np.diff(split.offsets.to_numpy())
+    item = np.concatenate([np.flatnonzero(~many), np.repeat(np.flatnonzero(many), n)])
+    later = np.ones(len(item), bool)
+    later[: len(items) - len(n)] = False
+    later[len(items) - len(n) + np.cumsum(n) - n] = False
+    line = pa.concat_arrays([items.filter(pa.array(~many)), split.flatten()])
+    trimmed = pc.utf8_rtrim(line, characters=TAIL)
+    word = pc.match_substring_regex(trimmed, r"[\p{L}\p{N}]$")
+    head = pc.if_else(word, trimmed, line)
+    tail = pc.if_else(word, pc.replace_substring_regex(line, r"(?s)^.*[^" + TAIL + "]", ""), "")
+    parts = pa.concat_arrays([pa.array(["\n"]), head, tail]).dictionary_encode()
+    code = parts.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    filled = pc.greater(pc.binary_length(pa.concat_arrays([head, tail])), 0).to_numpy(zero_copy_only=False)
+    slot = np.column_stack([np.zeros(len(item), np.int64), code[1 : len(item) + 1], code[len(item) + 1 :]])
+    held = np.column_stack([later, filled[: len(item)], filled[len(item) :]])
+    order = np.argsort(item, kind="stable")
+    return slot[order][held[order]], np.bincount(item, weights=held.sum(axis=1), minlength=len(items)).astype(np.int64), parts.dictionary
+
+
+class Remembered:
+    """Ids of distinct strings as one flat array with places, kept between the slices and tasks of a worker.
+
+    Strings are looked up by hash and compared, so a collision costs only time.
+    """
+
+    def __init__(self, kind: type, limit: int = REMEMBERED):
+        self.kind, self.limit = kind, limit
+        self.forget()
+
+    def forget(self) -> None:
+        self.hashes, self.row = np.empty(0, np.uint64), np.empty(0, np.int64)
+        self.vocab = pa.array([], pa.string())
+        self.start, self.size, self.flat = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, self.kind)
+
+    def fresh(self, items: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of new strings in one array, how many each has, and the strings' order in the array."""
+        raise NotImplementedError
+
+    def places(self, items: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Start and number of the ids of each distinct string in ``self.flat``."""
+        if len(self.vocab) > self.limit:
+            self.forget()
+        hashed = hash_words(items)
+        row = np.full(len(items), -1)
+        if len(self.hashes):
+            at = np.minimum(np.searchsorted(self.hashes, hashed), len(self.hashes) - 1)
+            at = self.row[at]
+            same = pc.equal(self.vocab.take(pa.array(at)), items).to_numpy(zero_copy_only=False)
+            row[same] = at[same]
+        new = np.flatnonzero(row < 0)
+        if len(new):
+            missing = items.take(pa.array(new))
+            flat, size, order = self.fresh(missing)
+            start = np.empty(len(new), np.int64)
+            start[order] = len(self.flat) + np.concatenate([[0], np.cumsum(size[order])])[:-1]
+            row[new] = len(self.vocab) + np.arange(len(new))
+            self.vocab = pa.concat_arrays([self.vocab, missing])
+            self.start, self.size = np.r_[self.start, start], np.r_[self.size, size]
+            self.flat = np.r_[self.flat, flat]
+            by = np.argsort(hashed[new])
+            into = np.searchsorted(self.hashes, hashed[new][by])
+            self.hashes, self.row = np.insert(self.hashes, into, hashed[new][by]), np.insert(self.row, into, row[new][by])
+        return self.start[row], self.size[row]

@@ -3,12 +3,14 @@
 An Aho-Corasick automaton over the pieces reports, at each position, the
 longest piece that ends there and by its output links all shorter ones; each
 relaxes the best score of the position in a single Viterbi pass. No piece holds
-a blank mark after its first character, so words are segmented apart and
-distinct words once per slice.
+a blank mark after its first character, so words are segmented apart, distinct
+words once; where the pieces allow it they are cut at newlines and before
+closing punctuation too.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -17,11 +19,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corpuskit.llm._text import read, slices, texts
+from corpuskit.llm._text import TAIL, Remembered, gather, list_array, read, slices, texts, tidy, word_parts
 
 MARK = "▁"
-#: Words that one worker remembers; some 200 bytes each.
-REMEMBERED = 250_000
+#: Bytes of text in one slice.
+SLICE = 4_000_000
 #: How much a byte costs more than the rarest piece.
 BYTE_PENALTY = 10.0
 
@@ -32,7 +34,7 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-class PieceModel:
+class PieceModel(Remembered):
     """Pieces and scores of a model file.
 
     A file whose scores are merge ranks (0, -1, -2, ...) gets the log
@@ -73,7 +75,13 @@ class PieceModel:
             self.automaton.add_word(piece, (i, len(piece), score))
         self.automaton.make_automaton()
         self.byte_score = min(s for _, s in self.score.values()) - BYTE_PENALTY
-        self.known: dict[str, np.ndarray] = {}
+        # Words are cut where no piece lies across: at a newline, and before closing punctuation.
+        pairs = {p[k : k + 2] for p in self.score for k in range(len(p) - 1)}
+        self.cuts = not any("\n" in x or (x[0].isalnum() and x[1] in TAIL) for x in pairs)
+        size = np.array([len(x) for x in self.bytes])
+        self.byte_start, self.byte_size = np.cumsum(size) - size, size
+        self.byte_flat = np.frombuffer(b"".join(self.bytes), np.uint8)
+        super().__init__(np.int32)
 
     @classmethod
     def of(cls, path: str) -> PieceModel:
@@ -106,30 +114,38 @@ class PieceModel:
         return out[::-1]
 
     def word(self, part: str) -> list[int]:
-        """Ids of the text between two blanks. A mark that stands in the text itself goes as bytes."""
+        """Ids of a part of a word; one that opens the word has a blank before it. A mark in the text itself goes as bytes."""
         first, *more = part.split(MARK)
-        out = self.segment(MARK + first)
+        out = self.segment(MARK + first[1:] if first.startswith(" ") else first)
         for x in more:
-            out += [self.byte_id[b] for b in MARK.encode()] + (self.segment(x) if x else [])
+            out += [self.byte_id[b] for b in MARK.encode()] + self.segment(x)
         return out
 
-    def words(self, distinct: list[str]) -> list[np.ndarray]:
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        room, out = REMEMBERED - len(self.known), []
-        for w in distinct:
-            ids = self.known.get(w)
-            if ids is None:
-                ids = np.array(self.word(w), np.int32)
-                if room > 0:
-                    self.known[w] = ids
-                    room -= 1
-            out.append(ids)
-        return out
+    def fresh(self, items: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        ids = [self.word(w) for w in items.to_pylist()]
+        return np.array(list(itertools.chain.from_iterable(ids)), np.int32), np.array([len(x) for x in ids], np.int64), np.arange(len(ids))
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")[1:]
 
+    def decode_lists(self, lists: pa.ListArray) -> pa.Array:
+        """The texts of lists of ids, gathered as bytes at once; lists that give no UTF-8 or no leading blank one by one."""
+        size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        ids = lists.flatten().to_numpy(zero_copy_only=False)
+        n = self.byte_size[ids]
+        data = gather(self.byte_flat, self.byte_start[ids], n)
+        ends = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(size)])]
+        full = np.diff(ends) > 0
+        first = ends[:-1][full]
+        try:
+            if (data[first] != 0x20).any():
+                raise pa.ArrowInvalid("no leading blank")
+            offsets = (ends - np.concatenate([[0], np.cumsum(full)])).astype(np.int32)
+            raw = pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(offsets), pa.py_buffer(np.delete(data, first))])
+            return pc.if_else(lists.is_valid(), raw.cast(pa.string()), pa.scalar(None, pa.string()))
+        except pa.ArrowInvalid:
+            return pa.array([None if x is None else self.decode(x) for x in lists.to_pylist()], pa.string())
+
 
 def encode(docs: DataFrame, model: str | None = None, text_col: str = "text", out_col: str = "pieces") -> DataFrame:
     """Adds the piece ids of each text as an array; null and empty texts have an empty array.
@@ -142,25 +158,26 @@ def encode(docs: DataFrame, model: str | None = None, text_col: str = "text", ou
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = PieceModel.of(model)
-        for batch in slices(batches, text_col):
+        for batch in slices(batches, text_col, SLICE):
             column = texts(batch, text_col)
             split = pc.split_pattern(column, " ")
             offsets = split.offsets.to_numpy().astype(np.int64)
+            offsets -= offsets[0]
             coded = split.flatten().dictionary_encode()
-            items = held.words(coded.dictionary.to_pylist())
             code = coded.indices.to_numpy(zero_copy_only=False)
-            size = np.fromiter(map(len, items), np.int64, len(items))
-            first = np.concatenate([[0], np.cumsum(size)])[:-1]
-            n = size[code]
-            n[(offsets[:-1] - offsets[0])[pc.equal(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)]] = 0
-            shift = np.repeat(first[code] - (np.cumsum(n) - n), n)
-            ids = np.concatenate(items)[shift + np.arange(len(shift))] if len(items) else np.empty(0, np.int32)
-            ends = np.concatenate([[0], np.cumsum(n)])[offsets - offsets[0]]
-            array = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), array], names=[*keep, out_col])
+            parts, many, distinct = word_parts(pc.binary_join_element_wise("", coded.dictionary, " "), held.cuts)
+            start, size = held.places(distinct)
+            # The ids of each distinct word, then of each word.
+            inner = size[parts]
+            ids, total = gather(held.flat, start[parts], inner), np.add.reduceat(np.append(inner, 0), np.cumsum(many) - many) if len(many) else inner
+            n = total[code]
+            n[offsets[:-1][pc.equal(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)]] = 0
+            ids = gather(ids, (np.cumsum(total) - total)[code], n)
+            ends = np.concatenate([[0], np.cumsum(n)])[offsets]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), list_array(ids, ends, pa.int32())], names=[*keep, out_col])
 
     kinds = dict(docs.dtypes)
-    return docs.select(*keep).mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + f", `{out_col}` array<int>")
+    return docs.select(*keep).mapInArrow(tidy(run), ", ".join(f"`{c}` {kinds[c]}" for c in keep) + f", `{out_col}` array<int>")
 
 
 def decode(encoded: DataFrame, model: str | None = None, ids_col: str = "pieces", out_col: str = "decoded") -> DataFrame:
@@ -172,11 +189,10 @@ def decode(encoded: DataFrame, model: str | None = None, ids_col: str = "pieces"
         for whole in batches:
             for a in range(0, whole.num_rows, 500):
                 batch = whole.slice(a, 500)
-                out = [None if x is None else held.decode(x) for x in batch.column(ids_col).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(out, pa.string())], names=[*keep, out_col])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), held.decode_lists(batch.column(ids_col))], names=[*keep, out_col])
 
     kinds = dict(encoded.dtypes)
-    return encoded.select(*keep).mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + f", `{out_col}` string")
+    return encoded.select(*keep).mapInArrow(tidy(run), ", ".join(f"`{c}` {kinds[c]}" for c in keep) + f", `{out_col}` string")
 
 
 def op4_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,17 +16,14 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from corpuskit.llm._text import hash_words, slices, texts
+from corpuskit.llm._text import REMEMBERED, Remembered, gather, release, slices, texts, word_parts
 
-#: Pieces that one worker remembers between slices; some 60 bytes each.
-REMEMBERED = 1_000_000
 #: Bytes of text in one slice: the larger, the fewer words are looked up twice.
 SLICE = 4_000_000
 #: Texts with white space before a blank, or other white space than these four, are encoded whole.
 _ODD = "[ \\t\\n\\r] |[\\x0b\\x0c\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
-_TAIL = ",.!?;:"
-#: Pieces of several lines that are cut at their newlines, and the parts of a text that must show these cuts.
-_LINES, _SHOWN = r"^ ?[^\s\x0b]+(?:\n[^\s\x0b]+)+$", ["a", ".", "\n", "B", "\n", "c"]
+#: The parts of a text that must show that newlines stand alone.
+_SHOWN = ["a", ".", "\n", "B", "\n", "c"]
 
 
 def default_tokenizer() -> str:
@@ -35,8 +32,8 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-class WordCache:
-    """Ids of distinct pieces, remembered per worker process as one flat array with places."""
+class WordCache(Remembered):
+    """Ids of distinct pieces, remembered per worker process."""
 
     _all: dict[str, WordCache] = {}
 
@@ -50,7 +47,7 @@ class WordCache:
         self.newline = int(newline[0]) if len(newline) == 1 else -1
         text, shown = "".join(_SHOWN), self.tok.pre_tokenizer and self.tok.pre_tokenizer.pre_tokenize_str("".join(_SHOWN))
         self.lines = [text[a:b] for _, (a, b) in shown or []] == _SHOWN
-        self.forget()
+        super().__init__(np.uint32)
 
     @classmethod
     def of(cls, path: str) -> WordCache:
@@ -58,15 +55,10 @@ class WordCache:
             cls._all[path] = cls(path)
         return cls._all[path]
 
-    def forget(self) -> None:
-        self.hashes, self.row = np.empty(0, np.uint64), np.empty(0, np.int64)
-        self.vocab = pa.array([], pa.string())
-        self.start, self.size, self.flat = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint32)
-
     def whole(self, items: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tok.encode_batch_fast(items, add_special_tokens=False)]
 
-    def _fresh(self, items: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def fresh(self, items: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of new pieces in one array, how many each has, and the pieces' order in the array.
 
         Pieces without other white space than a first blank are encoded as one
@@ -93,71 +85,12 @@ class WordCache:
         flat = np.concatenate([*parts, *each]) if len(order) else np.empty(0, np.uint32)
         return flat, size, order
 
-    def places(self, items: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Start and number of the ids of each distinct piece in ``self.flat``."""
-        if len(self.vocab) > REMEMBERED:
-            self.forget()
-        hashed = hash_words(items)
-        row = np.full(len(items), -1)
-        if len(self.hashes):
-            at = np.minimum(np.searchsorted(self.hashes, hashed), len(self.hashes) - 1)
-            at = self.row[at]
-            same = pc.equal(self.vocab.take(pa.array(at)), items).to_numpy(zero_copy_only=False)
-            row[same] = at[same]
-        new = np.flatnonzero(row < 0)
-        if len(new):
-            missing = items.take(pa.array(new))
-            flat, size, order = self._fresh(missing)
-            start = np.empty(len(new), np.int64)
-            start[order] = len(self.flat) + np.concatenate([[0], np.cumsum(size[order])])[:-1]
-            row[new] = len(self.vocab) + np.arange(len(new))
-            self.vocab = pa.concat_arrays([self.vocab, missing])
-            self.start, self.size = np.r_[self.start, start], np.r_[self.size, size]
-            self.flat = np.r_[self.flat, flat]
-            by = np.argsort(hashed[new])
-            into = np.searchsorted(self.hashes, hashed[new][by])
-            self.hashes, self.row = np.insert(self.hashes, into, hashed[new][by]), np.insert(self.row, into, row[new][by])
-        return self.start[row], self.size[row]
-
-
-def gather(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Concatenation of ``flat[s : s + n]`` for each place."""
-    shift = np.repeat(start - np.concatenate([[0], np.cumsum(size)])[:-1], size)
-    return flat[shift + np.arange(len(shift))]
-
-
-def _parts(items: pa.Array, lines: bool) -> tuple[np.ndarray, np.ndarray, pa.Array]:
-    """What items are cut into: codes item by item, how many each has, and the distinct parts.
-
-    Punctuation that closes a word is a part of its own; with ``lines`` so is a
-    single newline between visible characters.
-    """
-    many = pc.match_substring_regex(items, _LINES).to_numpy(zero_copy_only=False) & lines
-    split = pc.split_pattern(items.filter(pa.array(many)), "\n")
-    n = np.diff(split.offsets.to_numpy())
-    item = np.concatenate([np.flatnonzero(~many), np.repeat(np.flatnonzero(many), n)])
-    later = np.ones(len(item), bool)
-    later[: len(items) - len(n)] = False
-    later[len(items) - len(n) + np.cumsum(n) - n] = False
-    line = pa.concat_arrays([items.filter(pa.array(~many)), split.flatten()])
-    trimmed = pc.utf8_rtrim(line, characters=_TAIL)
-    word = pc.match_substring_regex(trimmed, r"[\p{L}\p{N}]$")
-    head = pc.if_else(word, trimmed, line)
-    tail = pc.if_else(word, pc.replace_substring_regex(line, r"(?s)^.*[^" + _TAIL + "]", ""), "")
-    parts = pa.concat_arrays([pa.array(["\n"]), head, tail]).dictionary_encode()
-    code = parts.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    filled = pc.greater(pc.binary_length(pa.concat_arrays([head, tail])), 0).to_numpy(zero_copy_only=False)
-    slot = np.column_stack([np.zeros(len(item), np.int64), code[1 : len(item) + 1], code[len(item) + 1 :]])
-    held = np.column_stack([later, filled[: len(item)], filled[len(item) :]])
-    order = np.argsort(item, kind="stable")
-    return slot[order][held[order]], np.bincount(item, weights=held.sum(axis=1), minlength=len(items)).astype(np.int64), parts.dictionary
-
 
 def pieces(column: pa.Array, added: list[str], lines: bool) -> tuple[np.ndarray, np.ndarray, pa.Array, dict[int, str]]:
     """Texts as codes of pieces: codes, row offsets, distinct pieces, and rows to encode whole.
 
     The first word of a text has no blank before it; each later one has one.
-    Words are cut further by :func:`_parts`. Texts that hold one of the
+    Words are cut further by :func:`word_parts`. Texts that hold one of the
     ``added`` tokens are encoded whole.
     """
     odd = pc.match_substring_regex(column, _ODD).to_numpy(zero_copy_only=False)
@@ -176,7 +109,7 @@ def pieces(column: pa.Array, added: list[str], lines: bool) -> tuple[np.ndarray,
     heads = flat.filter(pa.array(first)).dictionary_encode()
     code[first] = heads.indices.to_numpy(zero_copy_only=False) + len(spaced.dictionary)
     items = pa.concat_arrays([pc.binary_join_element_wise("", spaced.dictionary, " "), heads.dictionary])
-    parts, size, distinct = _parts(items, lines)
+    parts, size, distinct = word_parts(items, lines)
     size_of = size[code]
     return gather(parts, (np.cumsum(size) - size)[code], size_of), np.concatenate([[0], np.cumsum(size_of)])[offsets], distinct, whole
 
@@ -228,8 +161,11 @@ def code_column(column: pa.Array, cache: WordCache) -> Coded:
     return Coded(code, offsets, number, gather(cache.flat, start, number), dict(zip(whole, cache.whole(list(whole.values())))))
 
 
-def coded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[pa.RecordBatch, Coded]]:
+def coded(batches: Iterator[pa.RecordBatch], path: str, slice_bytes: int = SLICE, remembered: int = REMEMBERED) -> Iterator[tuple[pa.RecordBatch, Coded]]:
     """Slices of the batches with their coded texts."""
     cache = WordCache.of(path)
-    for batch in slices(batches, limit=SLICE):
+    cache.limit = remembered
+    for batch in slices(batches, limit=slice_bytes):
         yield batch, code_column(texts(batch), cache)
+        if slice_bytes < SLICE:
+            release()
