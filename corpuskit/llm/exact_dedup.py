@@ -19,7 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corpuskit.llm._text import read, slices, texts, tidy
+from corpuskit.llm._text import read, slices, small_batches, texts, tidy
 from corpuskit.plans.scratch import Scratch
 
 #: Distinct digests of either side that one bucket holds on average, at most.
@@ -173,8 +173,9 @@ def exact_dedup(history: DataFrame, incoming: DataFrame, id_col: str = "doc_id",
     """
     spark = history.sparkSession
     scratch = Scratch(spark, "exact_dedup")
-    old = scratch.table(digests(history, id_col, text_col), "old")
-    new = scratch.table(digests(incoming, id_col, text_col), "new")
+    with small_batches(spark):
+        old = scratch.table(digests(history, id_col, text_col), "old")
+        new = scratch.table(digests(incoming, id_col, text_col), "new")
     seen = scratch.table(_best(old), "seen")
     arrived = scratch.table(_best(new), "arrived")
     n_buckets = max(1, -(-max(seen.count(), arrived.count()) // bucket_keys))

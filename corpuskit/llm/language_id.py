@@ -20,7 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from corpuskit.llm._text import read, slices, texts, tidy
+from corpuskit.llm._text import read, slices, small_batches, texts, tidy
 from corpuskit.plans.scratch import Scratch
 
 #: Labelled rows of each language that the text model is fitted on, those with the least hashes of their ids, and
@@ -111,7 +111,8 @@ def fit(labelled: DataFrame, text_col: str, lang_col: str, id_col: str) -> TextM
                 yield pa.RecordBatch.from_pydict({"lang": [lang] * len(found), "bucket": pa.array(found, pa.int32()), "n": pa.array(n, pa.int64())})
 
     counts = rows.select("text", "lang").mapInArrow(tidy(count), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    got = counts.toPandas()  # BUCKETS rows per language of the sample at most
+    with small_batches(labelled.sparkSession):
+        got = counts.toPandas()  # BUCKETS rows per language of the sample at most
     languages = tuple(sorted(got["lang"].unique()))
     table = np.full((len(languages) + 1, BUCKETS), -np.log(BUCKETS))
     for k, lang in enumerate(languages):
@@ -154,7 +155,8 @@ def identify(rows: DataFrame, model: TextModel) -> DataFrame:
     if not names:
         nothing = F.lit(None).cast("string")
         return rows.select("id", nothing.alias("text_language"), nothing.alias("language"), F.lit(None).cast("double").alias("confidence"), F.lit(True).alias("kept"))
-    scored = scratch.table(text_evidence(rows, model), "evidence")
+    with small_batches(rows.sparkSession):
+        scored = scratch.table(text_evidence(rows, model), "evidence")
     langs = [F.col("evidence")[k] for k in range(len(names))]
     unknown = F.col("evidence")[len(names)]
     host = F.lower(F.trim("host"))

@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from corpuskit.llm._text import gram_hashes, hash_words, list_array, mix, read, slices, texts, tidy, words
+from corpuskit.llm._text import gram_hashes, hash_words, list_array, mix, read, slices, small_batches, texts, tidy, words
 from corpuskit.operators.components import connected_components
 from corpuskit.plans.scratch import Scratch
 
@@ -304,7 +304,8 @@ def across_families(indexed: DataFrame, num: int, den: int, scratch: Scratch) ->
 def verify(docs: DataFrame, pairs: DataFrame, n: int, scratch: Scratch) -> DataFrame:
     """``(a, na, b, nb)`` pairs of ids and sizes with the size of their intersection as ``inter``."""
     wanted = scratch.table(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "wanted")
-    held = scratch.table(whole_sets(docs.join(_bounded(wanted), "id", "left_semi"), n), "wanted-sets")
+    with small_batches(docs.sparkSession):
+        held = scratch.table(whole_sets(docs.join(_bounded(wanted), "id", "left_semi"), n), "wanted-sets")
     left = pairs.join(held.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
     both = left.join(held.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
     return both.select("a", "na", "b", "nb", F.size(F.array_intersect("sa", "sb")).cast("long").alias("inter"))
@@ -327,7 +328,8 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     scratch = Scratch(docs.sparkSession, "ngram_join")
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
-    summary = scratch.table(summarise(docs, n), "summary")
+    with small_batches(docs.sparkSession):
+        summary = scratch.table(summarise(docs, n), "summary")
     sets = summary.where("shingle is null").select("id", "n", "d1", "d2", "sketch")
     last = _put_last(summary, scratch)
 
@@ -340,7 +342,8 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     able = able.select(F.col("rep").alias("id"), "n", "sketch")
 
     chosen = scratch.table(able.select("id", "n").join(families(able, scratch), "id", "left"), "chosen")
-    indexed = scratch.table(index_sets(docs.join(_bounded(chosen), "id"), n, num, den, last), "indexed")
+    with small_batches(docs.sparkSession):
+        indexed = scratch.table(index_sets(docs.join(_bounded(chosen), "id"), n, num, den, last), "indexed")
     near = scratch.table(inside_families(indexed.where("family is not null").select("id", "n", "family", "shingles"), num, den, scratch), "near")
     pairs = scratch.table(across_families(indexed.drop("shingles"), num, den, scratch), "pairs")
     far = scratch.table(verify(docs, pairs, n, scratch).where(_linked(num, den)).select("a", "b"), "far")

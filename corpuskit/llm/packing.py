@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from corpuskit.llm._text import read, tidy
+from corpuskit.llm._text import read, small_batches, tidy
 from corpuskit.llm.tokens import coded, default_tokenizer
 from corpuskit.plans.scratch import Scratch
 
@@ -26,11 +26,11 @@ RANK_GROUP = 1000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
-def cut(docs: DataFrame, tokenizer: str, window: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents' ids with the end id, cut into full windows and a rest; one row per piece."""
+def cut(docs: DataFrame, tokenizer: str, window: int, id_col: str = "doc_id", text_col: str = "text", **memory: int) -> DataFrame:
+    """The documents' ids with the end id, cut into full windows and a rest; one row per piece. ``memory`` goes to the encoder."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in coded(batches, tokenizer):
+        for batch, texts in coded(batches, tokenizer, **memory):
             ids, start = texts.expand(END_ID)
             raw = memoryview(ids.astype("<u4").tobytes())
             total = np.diff(start)
@@ -151,15 +151,18 @@ def place(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
     return ranked.mapInArrow(run, f"{schema}, sequence_id long, offset long")
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", **memory: int) -> DataFrame:
     """Packs all documents; one row per piece.
 
     Columns: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id,
     offset``. A null text is empty and has the end id alone; repeated rows are
     packed each; an empty table gives no rows; other columns are not read.
+    ``memory`` may lower the encoder's ``slice_bytes`` and ``remembered`` words,
+    for workers that have less of it; that costs time.
     """
     scratch = Scratch(docs.sparkSession, "packing")
-    pieces = scratch.table(cut(docs, tokenizer or default_tokenizer(), window, id_col, text_col), "pieces")
+    with small_batches(docs.sparkSession):
+        pieces = scratch.table(cut(docs, tokenizer or default_tokenizer(), window, id_col, text_col, **memory), "pieces")
     return place(pieces, window).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
