@@ -37,7 +37,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The places of all documents' tokens in windows of 1024."""
-    return packing.pack(docs)
+    # Heaps that have grown in the stages before leave little memory for Python.
+    return packing.pack(docs, slice_bytes=1_500_000, remembered=300_000)
 
 
 STAGES = [("language_id", language), ("exact_dedup", exact), ("ngram_jaccard", near), ("pii", personal_data), ("packing", windows)]
