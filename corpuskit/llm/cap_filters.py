@@ -22,7 +22,7 @@ from corpuskit.operators.components import connected_components
 from corpuskit.plans.scratch import Scratch
 
 #: Filters that a vector exceeds on average, and that it has at least (its best ones).
-MEAN_FILTERS, LEAST_FILTERS = 24, 10
+MEAN_FILTERS, LEAST_FILTERS = 16, 8
 #: Vectors of unrelated directions that one filter holds on average.
 PER_FILTER = 1.0
 #: Rows of one block of a filter; larger filters are compared block by block.
@@ -137,9 +137,13 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec_id
     words, level = parameters(equal.count())
 
     decoded = scratch.table(filters(equal, words, level), "decoded")
-    entries = decoded.select("rep", "dim", "filters", F.explode("filters").alias("f"))
+    entries = decoded.select("rep", "dim", F.explode("filters").alias("f"))
     sizes = entries.groupBy("dim", "f").agg(F.count("*").alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    placed = decoded.withColumn("f", F.explode("filters")).join(sizes.select("dim", "f", "blocks"), ["dim", "f"]).join(equal.select("rep", "m", "v"), "rep")
+    # Of a vector's filters only those that hold others too, and at each filter those before it, tell where a pair was met.
+    shared = scratch.table(entries.select("rep", "dim", "f").join(sizes.select("dim", "f", "blocks"), ["dim", "f"]), "shared")
+    listed = shared.groupBy("rep").agg(F.collect_list(F.struct("dim", "f", "blocks")).alias("at"))  # some MEAN_FILTERS entries
+    listed = listed.join(equal.select("rep", "m", "v"), "rep").withColumn("filters", F.col("at.f")).select("rep", "m", "v", "filters", F.inline("at"))
+    placed = listed.withColumn("filters", F.expr("filter(filters, x -> x < f)"))
     placed = placed.withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumn("b1", F.least("mine", "other")).withColumn("b2", F.greatest("mine", "other"))
     placed = placed.select("dim", "f", "b1", "b2", "mine", "rep", "m", "v", "filters").repartition("dim", "f", "b1", "b2").sortWithinPartitions("dim", "f", "b1", "b2")
