@@ -63,7 +63,7 @@ def edges(spark: SparkSession, d: str) -> DataFrame:
 def terms(spark: SparkSession, d: str) -> DataFrame:
     """``(doc_id, source, term)``: words of over three characters of each document's whole text."""
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{4,})"), F.lit(1)))
-    return table(spark, d, "documents").select("doc_id", "source", F.explode(words).alias("term")).distinct()
+    return table(spark, d, "documents").select("doc_id", "source", F.explode(words).alias("term"))
 
 
 def file_events(spark: SparkSession, d: str) -> DataFrame:
