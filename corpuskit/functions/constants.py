@@ -79,3 +79,7 @@ SMALL_TALK = (
     r"(?i)^\s*(hi+|hello+|hey+|howdy|greetings?|good\s+(morning|afternoon|evening|day)|thanks?|thank\s+you|thx|cheers|bye+|goodbye|"
     r"ok+|okay|sure|yes|no|yep|nope|who\s+are\s+you|what\s+are\s+you|help)\s*[.!?]?\s*$"
 )
+
+# How texts write an abbreviation with its definition.
+ABBREVIATION_FIRST = r"\b([A-Z]{2,8})\s*\(([a-zA-Z][^()]{2,79})\)"
+DEFINITION_FIRST = r"\b((?:[A-Z][a-zA-Z\-]*\s+){1,7}[A-Z][a-zA-Z\-]*)\s*\(([A-Z]{2,8})\)"

@@ -28,10 +28,6 @@ def process_queries(queries: DataFrame, expansions: DataFrame | None = None, to_
     return q.withColumn("search_text", F.when(joined == "", F.col("normalised")).otherwise(joined))
 
 
-ABBREVIATION_FIRST = r"\b([A-Z]{2,8})\s*\(([a-zA-Z][^()]{2,79})\)"
-DEFINITION_FIRST = r"\b((?:[A-Z][a-zA-Z\-]*\s+){1,7}[A-Z][a-zA-Z\-]*)\s*\(([A-Z]{2,8})\)"
-
-
 def _initials(definition: Column) -> Column:
     words = F.transform(F.split(F.trim(definition), r"\s+"), lambda w: F.regexp_replace(w, r"^[(),.\-;:]+|[(),.\-;:]+$", ""))
     kept = F.filter(words, lambda w: (w != "") & ~F.lower(w).isin(K.INITIAL_STOP_WORDS))
@@ -50,7 +46,7 @@ def extract_abbreviations(docs: DataFrame, id_col: str = "doc_id", text_col: str
         pairs = docs.select(id_col, F.posexplode(F.arrays_zip(groups[0].alias("a"), groups[1].alias("d"))).alias("pos", "p"))
         return pairs.select(id_col, F.lit(order).alias("scan"), "pos", F.col("p.a").alias("a"), F.trim("p.d").alias("definition"))
 
-    found = scan(ABBREVIATION_FIRST, 1, 2, 0).unionByName(scan(DEFINITION_FIRST, 2, 1, 1))
+    found = scan(K.ABBREVIATION_FIRST, 1, 2, 0).unionByName(scan(K.DEFINITION_FIRST, 2, 1, 1))
     found = found.where(~F.lower("a").isin(list(K.EXPANSIONS)) & (_initials(F.col("definition")) == F.upper("a")))
     first = F.row_number().over(Window.partitionBy(id_col, "abbreviation").orderBy("scan", "pos"))
     found = found.withColumn("abbreviation", F.lower("a")).withColumn("n", first).where("n = 1")
