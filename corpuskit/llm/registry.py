@@ -12,6 +12,7 @@ from corpuskit.llm.pii import op2_pii
 from corpuskit.llm.secrets import op7_secrets
 from corpuskit.llm.sentence_pieces import op4_sentence_pieces
 from corpuskit.llm.token_files import op10_token_files
+from corpuskit.llm.whitening import op13_whitening
 
 QUERIES = {
     "op1_language_id": op1_language_id,
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_packing": op9_packing,
     "op10_token_files": op10_token_files,
+    "op13_whitening": op13_whitening,
 }
 
 
