@@ -90,6 +90,15 @@ def words(array: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray,
     return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), offsets, coded.dictionary
 
 
+def byte_translated(array: pa.Array, table: bytes) -> pa.Array:
+    """Strings without nulls, their bytes put through a table that leaves bytes beyond ASCII alone."""
+    if not len(array) or array.buffers()[2] is None:
+        return array
+    at = np.frombuffer(array.buffers()[1], np.int32)[array.offset : array.offset + len(array) + 1]
+    data = memoryview(array.buffers()[2])[at[0] : at[-1]].tobytes().translate(table)
+    return pa.StringArray.from_buffers(len(array), pa.py_buffer((at - at[0]).astype(np.int32)), pa.py_buffer(data))
+
+
 def hash_words(distinct: pa.Array) -> np.ndarray:
     """A 64-bit hash of each word."""
     digest = xxhash.xxh3_64_intdigest

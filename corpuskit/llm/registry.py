@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from corpuskit.llm.cap_filters import op6_cap_filters
+from corpuskit.llm.collocations import OP12_SQL, op12_collocations
+from corpuskit.llm.decontamination import OP11_SQL, op11_decontamination
 from corpuskit.llm.exact_dedup import OP8_SQL, op8_exact_dedup
 from corpuskit.llm.language_id import language_of_pages, op1_language_id
 from corpuskit.llm.lm_scores import op5_lm_scores
@@ -26,6 +28,8 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_packing": op9_packing,
     "op10_token_files": op10_token_files,
+    "op11_decontamination": op11_decontamination,
+    "op12_collocations": op12_collocations,
     "op13_whitening": op13_whitening,
 }
 
@@ -38,4 +42,4 @@ def pipeline(spark, sf_dir):
 
 
 QUERIES["pipeline"] = pipeline
-ORACLES = {"op8_exact_dedup": OP8_SQL}
+ORACLES = {"op8_exact_dedup": OP8_SQL, "op11_decontamination": OP11_SQL, "op12_collocations": OP12_SQL}
