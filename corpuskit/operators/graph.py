@@ -11,6 +11,7 @@ import functools
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corpuskit.functions import constants as K, text as T
+from corpuskit.operators.substrings import name_hits
 from corpuskit.plans.scratch import Scratch
 
 _ENTITIES = "struct<entities:array<struct<name:string,type:string,confidence:string>>>"
@@ -108,28 +109,13 @@ def merge_duplicates(entities: DataFrame, edges: DataFrame, scope: str = "graph"
     return kept, merged
 
 
-#: Rows of one broadcast slice of a table that is searched for as substrings.
-SLICE_ROWS = 10_000
-
-
-def name_hits(entities: DataFrame, queries: DataFrame, key: str, condition: Column) -> DataFrame:
-    """Entities joined with a table of queries by a substring condition, in broadcast slices of bounded size.
-
-    Every name is compared with every query: that is what substrings ask for.
-    """
-    slices = max(1, -(-queries.count() // SLICE_ROWS))
-    part = F.pmod(F.xxhash64(key), F.lit(slices))
-    found = [entities.join(F.broadcast(queries.where(part == i)), condition) for i in range(slices)]
-    return functools.reduce(DataFrame.unionByName, found)
-
-
 def search_entities(queries: DataFrame, entities: DataFrame, limit: int = 50) -> DataFrame:
     """``(query_id, id, name, confidence, rank)``: entities whose name holds the query, most confident first; ``entity_type`` limits if set."""
     if not 1 <= limit <= 50:
         raise ValueError("limit must lie in 1..50")
     kind = F.col("entity_type") if "entity_type" in queries.columns else F.lit(None).cast("string")
     q = queries.select("query_id", F.lower("query").alias("q"), kind.alias("t"))
-    hits = name_hits(entities, q, "query_id", F.lower("name").contains(F.col("q")) & (F.col("t").isNull() | (F.col("t") == F.col("entity_type"))))
+    hits = name_hits(entities, q).where(F.col("t").isNull() | (F.col("t") == F.col("entity_type")))
     order = Window.partitionBy("query_id").orderBy(F.desc("confidence"), "id")
     return hits.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= limit).select("query_id", "id", "name", "confidence", "rank")
 
@@ -182,7 +168,7 @@ def focal_subgraph(names: DataFrame, entities: DataFrame, edges: DataFrame, dept
 def connected_documents(queries: DataFrame, entities: DataFrame, edges: DataFrame, depth: int = 2, limit: int = 50) -> DataFrame:
     """``(query_id, doc_id)``: documents of entities near those whose name holds the query's text."""
     q = queries.select("query_id", F.lower("query").alias("q"))
-    seeds = name_hits(entities.select("id", "name"), q, "query_id", F.lower("name").contains(F.col("q"))).select("query_id", "id")
+    seeds = name_hits(entities.select("id", "name"), q).select("query_id", "id")
     near = k_hop(seeds.select("id").distinct(), edges, depth)
     docs = seeds.withColumnRenamed("id", "seed").join(near, "seed").select("query_id", "id").distinct().join(entities.select("id", F.col("source_document_id").alias("doc_id")), "id").select("query_id", "doc_id").distinct()
     order = Window.partitionBy("query_id").orderBy("doc_id")
@@ -190,10 +176,16 @@ def connected_documents(queries: DataFrame, entities: DataFrame, edges: DataFram
 
 
 def shortest_paths(pairs: DataFrame, edges: DataFrame, longest: int = 6, direction: str = "both") -> DataFrame:
-    """``(pair_id, found, length, path)`` of pairs ``(pair_id, source_id, target_id)``: breadth first for all at once.
+    """``(pair_id, found, length, path)`` of pairs ``(pair_id, source_id, target_id)``: breadth first from both ends, all pairs at once.
 
     Of equally short paths the least sequence of ids. ``direction='reference'``
     follows incoming edges only from nodes without outgoing ones.
+
+    Both searches keep nodes with their distance, no paths. A level is added to
+    one side in turn until the two meet, so neither goes further than half of
+    ``longest``. Then the nodes on shortest paths are traced back from where the
+    searches met, and the path is laid from the source, each step to the least
+    node on the way.
     """
     scratch = Scratch(edges.sparkSession, "shortest_paths")
     around = _both_ways(edges)
@@ -201,18 +193,52 @@ def shortest_paths(pairs: DataFrame, edges: DataFrame, longest: int = 6, directi
         out = edges.select(F.col("source_id").alias("id"), F.col("target_id").alias("next")).distinct()
         back = edges.select(F.col("target_id").alias("id"), F.col("source_id").alias("next")).distinct().join(out.select("id").distinct(), "id", "left_anti")
         around = out.union(back)
-    state = scratch.table(pairs.select("pair_id", "target_id", F.col("source_id").alias("id"), F.array("source_id").alias("path")), "p0")
-    for d in range(1, longest + 1):
-        done = state.where("id = target_id").select("pair_id").distinct()
-        front = state.where(F.size("path") == d).join(done, "pair_id", "left_anti")
-        grown = front.join(around, "id").where("not array_contains(path, next)").select("pair_id", "target_id", F.col("next").alias("id"), F.concat("path", F.array("next")).alias("path"))
-        grown = grown.join(state.select("pair_id", "id"), ["pair_id", "id"], "left_anti").groupBy("pair_id", "target_id", "id").agg(F.min("path").alias("path"))
-        state = scratch.table(state.unionByName(grown), f"p{d}")
-        if state.where(F.size("path") == d + 1).limit(1).count() == 0:
+    around = scratch.table(around.where("id is not null and next is not null").distinct(), "around")
+    against = around.select(F.col("next").alias("id"), F.col("id").alias("next"))
+    asked = pairs.select("pair_id", "source_id", "target_id").where("source_id is not null and target_id is not null")
+    sides = [scratch.table(asked.select("pair_id", F.col(c).alias("id"), F.lit(0).alias("d")).distinct(), f"{c}0") for c in ("source_id", "target_id")]
+    reach = [0, 0]
+
+    def met() -> DataFrame:
+        here, there = (side.where(F.col("d") == r) for side, r in zip(sides, reach))
+        return here.join(there.select("pair_id", "id"), ["pair_id", "id"]).select("pair_id", "id", F.lit(reach[0]).alias("a"), F.lit(reach[1]).alias("b"))
+
+    meetings = scratch.table(met(), "met0")
+    for level in range(1, longest + 1):
+        k = (level + 1) % 2  # the source's side first
+        side, ways = sides[k], (around, against)[k]
+        front = side.where(F.col("d") == reach[k]).join(meetings.select("pair_id").distinct(), "pair_id", "left_anti").select("pair_id", "id")
+        fresh = front.join(ways, "id").select("pair_id", F.col("next").alias("id")).distinct().join(side.select("pair_id", "id"), ["pair_id", "id"], "left_anti")
+        reach[k] += 1
+        fresh = scratch.table(fresh.withColumn("d", F.lit(reach[k])), f"side{k}_{reach[k]}")
+        sides[k] = side.unionByName(fresh)
+        meetings = meetings.unionByName(scratch.table(met(), f"met{level}"))
+        if not fresh.limit(1).count():
+            break
+    found = scratch.table(meetings, "meetings")
+    solved = found.select("pair_id", "a", "b").distinct()
+
+    on_way = found.select("pair_id", "id", F.col("a").alias("at"))
+    ways, traced = [on_way], None
+    for j in range(reach[0] - 1, 0, -1):
+        above = on_way.where(F.col("at") == j + 1)
+        above = above if traced is None else above.unionByName(traced)
+        before = above.join(against, "id").select("pair_id", F.col("next").alias("id")).distinct()
+        traced = sides[0].where(F.col("d") == j).join(before, ["pair_id", "id"], "left_semi").select("pair_id", "id", F.lit(j).alias("at"))
+        traced = scratch.table(traced, f"way{j}")
+        ways.append(traced)
+    beyond = sides[1].join(solved, "pair_id").where("d < b").select("pair_id", "id", (F.col("a") + F.col("b") - F.col("d")).alias("at"))
+    steps = scratch.table(functools.reduce(DataFrame.unionByName, [*ways, beyond]), "steps")
+    paths = scratch.table(asked.join(solved, "pair_id").select("pair_id", (F.col("a") + F.col("b")).alias("length"), F.array("source_id").alias("path")), "path0")
+    for i in range(1, longest + 1):
+        due = paths.where(F.col("length") >= i)
+        grown = due.withColumn("id", F.element_at("path", -1)).join(around, "id").select("pair_id", F.col("next").alias("id"))
+        chosen = grown.join(steps.where(F.col("at") == i).select("pair_id", "id"), ["pair_id", "id"], "left_semi").groupBy("pair_id").agg(F.min("id").alias("id"))
+        paths = paths.join(chosen, "pair_id", "left").select("pair_id", "length", F.when(F.col("id").isNull(), F.col("path")).otherwise(F.concat("path", F.array("id"))).alias("path"))
+        paths = scratch.table(paths, f"path{i}")
+        if not paths.where(F.col("length") > i).limit(1).count():
             break
-    hit = state.where("id = target_id").groupBy("pair_id").agg(F.min("path").alias("path"))
-    joined = pairs.select("pair_id").join(hit, "pair_id", "left")
-    return joined.select("pair_id", F.col("path").isNotNull().alias("found"), (F.size("path") - 1).cast("long").alias("length"), "path").withColumn("length", F.when(F.col("found"), F.col("length")))
+    return pairs.select("pair_id").join(paths, "pair_id", "left").select("pair_id", F.col("path").isNotNull().alias("found"), F.col("length").cast("long").alias("length"), "path")
 
 
 def graph_overview(entities: DataFrame, edges: DataFrame, per_document: int = 5, most: int = 150) -> tuple[DataFrame, DataFrame]:

@@ -117,12 +117,12 @@ _GRAPH = (
 
 
 def folder_overlap(spark, d):
-    return P.graph_scores(W.terms(spark, d).select("doc_id", "term"), _folders(spark, d)).select("doc_id", "folder", F.round("graph", 6).alias("graph"))
+    return P.graph_scores_of_sets(W.term_sets(spark, d), _folders(spark, d)).select("doc_id", "folder", F.round("graph", 6).alias("graph"))
 
 
 def _pairs(spark, d):
     """Graph scores with rerank scores made of ids."""
-    graph = P.graph_scores(W.terms(spark, d).select("doc_id", "term"), _folders(spark, d))
+    graph = P.graph_scores_of_sets(W.term_sets(spark, d), _folders(spark, d))
     rerank = F.pmod(F.col("doc_id") * 31 + F.substring("folder", 4, 9).cast("long") * 17, F.lit(40)) / 2000
     return graph.withColumn("rerank", rerank)
 

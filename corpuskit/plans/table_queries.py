@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from corpuskit.operators import clusters as C, conversations as H, documents as B, evaluate as J, ingest as A
 from corpuskit.plans import views as W
 from corpuskit.streaming import events as I
+from corpuskit.streaming.lifetimes import lifetimes
 
 
 def _incoming(spark, d):
@@ -184,6 +185,18 @@ def debounced_events(spark, d):
     return I.debounce(W.file_events(spark, d), "30 minutes").select("path", F.date_format("first", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("first"), F.date_format("last", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("last"), "n_events", "is_new")
 
 
+def file_lifetimes(spark, d):
+    """All events as one batch of file events, renames leading on to other users' files: what becomes of each file."""
+    ev = W.table(spark, d, "events")
+    path = F.concat(F.lit("/ws/"), F.col("user_id").cast("string"), F.lit(".txt"))
+    to = F.concat(F.lit("/ws/"), ((F.col("user_id") * 7 + F.col("event_id")) % 150).cast("string"), F.lit(".txt"))
+    moved = F.col("event_type") == "view"
+    action = F.when(moved, "rename").when(F.col("event_type") == "signup", "create").when(F.col("event_type") == "error", "delete").otherwise("modify")
+    rows = ev.select(F.col("event_id").alias("ts"), F.when(moved, to).otherwise(path).alias("path"), F.when(moved, path).alias("old_path"), action.alias("action"))
+    found = lifetimes(rows)
+    return found.select(F.col("start").alias("start_path"), F.col("born_at.ts").alias("born_id"), "born_path", "touched", F.col("path").alias("end_path"), "ended")
+
+
 def routed_events(spark, d):
     """Events as file events: logins move files in, out of and within the watched folder."""
     ev, user = W.table(spark, d, "events"), F.col("user_id").cast("string")
@@ -254,7 +267,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         snapshot_diff, index_summary, upsert_documents, pending_graph_builds, rename_paths, delete_cascade, delete_graph, latest_errors, dashboard_stats, recent_files, list_documents, list_by_workspace, scrub_details, recent_events, listing_profile, purge_orphans,
-        eligible_documents, known_folders, floating_documents, incremental_audit, conversation_list, turn_counts, transcripts, messages_upserted, debounced_events, routed_events, affinity_ema, placement_points, placement_scorecard, audit_points, truth_checks, target_names,
+        eligible_documents, known_folders, floating_documents, incremental_audit, conversation_list, turn_counts, transcripts, messages_upserted, debounced_events, routed_events, file_lifetimes, affinity_ema, placement_points, placement_scorecard, audit_points, truth_checks, target_names,
     )
 }
 
@@ -269,6 +282,30 @@ ORACLES = {
     "delete_graph": W.sql(", gone AS (SELECT id FROM v_entities WHERE source_document_id IN (SELECT 'nation_' || n_nationkey FROM nation WHERE n_nationkey % 4 = 0)) SELECT target_id, relationship_type, count(*) AS n FROM v_edges WHERE source_id NOT IN (SELECT id FROM gone) AND target_id NOT IN (SELECT id FROM gone) GROUP BY ALL", "v_entities", "v_edges"),
     "latest_errors": _ERRORS + "SELECT id, file_path, error_message FROM (SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY failed_at DESC, id DESC) AS n FROM er) WHERE n = 1 AND file_path NOT IN (SELECT file_path FROM ok) ORDER BY failed_at DESC, id LIMIT 500",
     "dashboard_stats": W.sql(" SELECT (SELECT count(*) FROM documents) AS documents, (SELECT CAST(sum(n_chars) AS BIGINT) FROM documents) AS characters, (SELECT count(*) FROM v_chunks) AS chunks, (SELECT count(DISTINCT user_id) FROM events WHERE event_type = 'error' AND user_id NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 3 = 0)) AS live_errors", "v_chunks"),
+    "file_lifetimes": """WITH RECURSIVE ev AS (
+    SELECT event_id AS ts, event_type AS kind, '/ws/' || CASE WHEN event_type = 'view' THEN (user_id * 7 + event_id) % 150 ELSE user_id END || '.txt' AS path,
+        CASE WHEN event_type = 'view' THEN '/ws/' || user_id || '.txt' END AS old
+    FROM events
+),
+marks AS (
+    SELECT path, ts, CASE kind WHEN 'error' THEN 'end' WHEN 'view' THEN 'arrive' ELSE 'touch' END AS k, old FROM ev WHERE old IS NULL OR old <> path
+    UNION ALL SELECT old, ts, 'leave', NULL FROM ev WHERE old <> path
+),
+numbered AS (SELECT *, sum(CASE WHEN k = 'touch' THEN 0 ELSE 1 END) OVER (PARTITION BY path ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM marks),
+held AS (
+    SELECT path, n, max(bk) AS bk, max(bts) AS bts, max(bold) AS bold, min(touch) AS touch, max(ek) AS ek, max(ets) AS ets FROM (
+        SELECT path, n, CASE WHEN k <> 'touch' THEN k END AS bk, CASE WHEN k <> 'touch' THEN ts END AS bts, old AS bold, CASE WHEN k = 'touch' THEN ts END AS touch, NULL AS ek, NULL AS ets FROM numbered
+        UNION ALL SELECT path, n - 1, NULL, NULL, NULL, NULL, k, ts FROM numbered WHERE k <> 'touch'
+    ) GROUP BY path, n
+),
+walk AS (
+    SELECT path AS hp, n AS hn, path, n FROM held WHERE bk IS NULL OR bk <> 'arrive'
+    UNION ALL SELECT hp, hn, t.path, t.n FROM walk w JOIN held s ON s.path = w.path AND s.n = w.n AND s.ek = 'leave' JOIN held t ON t.bk = 'arrive' AND t.bts = s.ets AND t.bold = s.path
+),
+parts AS (SELECT hp, hn, held.*, least(touch, CASE WHEN bk = 'arrive' THEN bts END) AS birth FROM walk JOIN held USING (path, n))
+SELECT CASE WHEN hn = 0 THEN hp END AS start_path, min(birth) AS born_id, arg_min(path, birth) FILTER (birth IS NOT NULL) AS born_path, bool_or(touch IS NOT NULL) AS touched,
+    max(path) FILTER (ek IS NULL OR ek <> 'leave') AS end_path, bool_or(ek IS NOT NULL) FILTER (ek IS NULL OR ek <> 'leave') AS ended
+FROM parts GROUP BY hp, hn HAVING hn = 0 OR min(birth) IS NOT NULL""",
     "recent_files": "SELECT event_id AS doc_id, user_id FROM events ORDER BY ts DESC, event_id DESC LIMIT 5",
     "list_documents": "SELECT event_id AS doc_id FROM events ORDER BY ts DESC, event_id LIMIT 25 OFFSET 50",
     "list_by_workspace": W.sql(" SELECT doc_id, file_path FROM v_docs WHERE source = 'src1' AND lang <> 'fr'", _docs),

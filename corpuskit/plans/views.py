@@ -60,10 +60,15 @@ def edges(spark: SparkSession, d: str) -> DataFrame:
     return rows("supplier", "s", "s_suppkey", "n", "s_nationkey", "BELONGS_TO", 0.8).union(rows("customer", "c", "c_custkey", "n", "c_nationkey", "MEMBER_OF", 0.7)).union(rows("nation", "n", "n_nationkey", "r", "n_regionkey", "PART_OF", 1.0))
 
 
+def term_sets(spark: SparkSession, d: str) -> DataFrame:
+    """``(doc_id, source, terms)``: the distinct words of over three characters of each document's whole text."""
+    words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("([a-z]{4,})"), F.lit(1)))
+    return table(spark, d, "documents").select("doc_id", "source", words.alias("terms"))
+
+
 def terms(spark: SparkSession, d: str) -> DataFrame:
-    """``(doc_id, source, term)``: words of over three characters of each document's whole text."""
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{4,})"), F.lit(1)))
-    return table(spark, d, "documents").select("doc_id", "source", F.explode(words).alias("term"))
+    """``(doc_id, source, term)``: a row for each term of :func:`term_sets`."""
+    return term_sets(spark, d).select("doc_id", "source", F.explode("terms").alias("term"))
 
 
 def file_events(spark: SparkSession, d: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, functions as F
@@ -10,8 +12,8 @@ from corpuskit.functions import text as T
 
 from corpuskit.sources.files import is_wanted_path
 
-#: Watched folders of one stream.
-MOST_WATCHED = 10_000
+#: Watched folders of one broadcast row; more become several rows.
+WATCHED_AT_ONCE = 10_000
 
 
 def route_events(events: DataFrame, watched: DataFrame) -> DataFrame:
@@ -20,14 +22,16 @@ def route_events(events: DataFrame, watched: DataFrame) -> DataFrame:
     Deletes act as they are. A move inside the watched folders is a rename, or a
     create if its source was no wanted file; a move out of them is a delete, one
     into them a create. Unwanted paths are left out. ``watched`` is the table of
-    watched folders, a setting: it becomes one broadcast row, so more than
-    ``MOST_WATCHED`` are refused.
+    watched folders, a setting: some ``WATCHED_AT_ONCE`` of them meet the events
+    at a time as one broadcast row. A ``seq`` of the events is kept.
     """
-    roots = watched.select(F.regexp_replace("path", "/+$", "").alias("_root")).distinct()
-    if roots.count() > MOST_WATCHED:
-        raise ValueError(f"more than {MOST_WATCHED} watched folders")
-    rows = events.join(F.broadcast(roots.agg(F.collect_set("_root").alias("_roots"))))
-    inside = lambda c: F.arrays_overlap(T.ancestors(F.col(c)), "_roots")
+    roots = watched.select(F.regexp_replace("path", "/+$", "").alias("_root")).where("_root is not null").distinct()
+    blocks = max(1, -(-roots.count() // WATCHED_AT_ONCE))
+    rows, sides = events, [f"_roots{i}" for i in range(blocks)]
+    for i, name in enumerate(sides):
+        some = roots.where(F.pmod(F.xxhash64("_root"), F.lit(blocks)) == i)
+        rows = rows.join(F.broadcast(some.agg(F.collect_set("_root").alias(name))))
+    inside = lambda c: functools.reduce(operator.or_, [F.arrays_overlap(T.ancestors(F.col(c)), name) for name in sides])
     moved = F.col("event_type") == "moved"
     source_ok = inside("path") & is_wanted_path(F.col("path"))
     dest_ok = F.coalesce(inside("dest_path") & is_wanted_path(F.col("dest_path")), F.lit(False))
@@ -37,7 +41,8 @@ def route_events(events: DataFrame, watched: DataFrame) -> DataFrame:
     )
     rows = rows.withColumn("action", action).where("action is not null")
     gone = F.col("action") == "delete"
-    return rows.select("ts", F.when(moved & ~gone, F.col("dest_path")).otherwise(F.col("path")).alias("path"), F.when(F.col("action") == "rename", F.col("path")).alias("old_path"), "action")
+    path = F.when(moved & ~gone, F.col("dest_path")).otherwise(F.col("path")).alias("path")
+    return rows.select("ts", path, F.when(F.col("action") == "rename", F.col("path")).alias("old_path"), "action", *[c for c in events.columns if c == "seq"])
 
 
 def debounce(events: DataFrame, gap: str = "2 seconds", delay: str = "1 minute", key: str = "path", created: str = "is_create") -> DataFrame:
@@ -52,8 +57,9 @@ def debounce(events: DataFrame, gap: str = "2 seconds", delay: str = "1 minute",
 
 
 def latest_actions(batch: DataFrame) -> DataFrame:
-    """Of one batch the last action of each path."""
-    return batch.groupBy("path").agg(F.max_by(F.struct("action", "old_path", "ts"), "ts").alias("x")).select("path", "x.*")
+    """Of one batch the last action of each path; equal times are told apart by ``seq``, if there is one, and then by the action."""
+    order = F.struct("ts", *[c for c in batch.columns if c == "seq"], "action", "old_path")
+    return batch.groupBy("path").agg(F.max(order).alias("x")).select("path", "x.action", "x.old_path", "x.ts")
 
 
 def index_stream(events: DataFrame, watched: DataFrame, handlers: dict[str, Callable[[DataFrame, int], None]], checkpoint: str):

@@ -1,39 +1,162 @@
-"""The index that follows file events, batch by batch and as a stream; text hooks."""
+"""The index that follows file events: any cut into batches ends alike; restarts, compaction, streams; text hooks."""
+
+import random
+
+import pytest
 
 from corpuskit.sources.files import read_text
+from corpuskit.streaming import store as S
+from corpuskit.streaming.lifetimes import lifetimes
 from corpuskit.streaming.store import IndexStore
 
-EVENTS = "ts long, path string, old_path string, action string"
+EVENTS = "ts long, seq long, path string, old_path string, action string"
+
+
+class Disk:
+    """Files as they are; ``load`` reads them as a store does."""
+
+    def __init__(self, spark, **files):
+        self.spark, self.files = spark, dict(files)
+
+    def load(self, paths):
+        rows = [(x.file_path, self.files[x.file_path]) for x in paths.distinct().collect() if x.file_path in self.files]
+        return self.spark.createDataFrame(rows, "file_path string, text string")
+
+
+def log_of(seed, many):
+    """Random file operations: ``(event, the files after it)``."""
+    rng, files, out = random.Random(seed), {"/w/unknown.txt": "never seen"}, []
+    names = [f"/w/{c}.txt" for c in "abcde"] + ["/w/unknown.txt"]
+    for i in range(many):
+        kind, path = rng.choice(["create", "modify", "modify", "delete", "rename", "rename", "rename"]), rng.choice(names)
+        if kind in ("create", "modify"):
+            kind = "modify" if path in files else "create"
+            files[path] = rng.choice(["alpha beta", "gamma", " ", f"text {i}"])
+            event = (path, None, kind)
+        elif path not in files:
+            continue
+        elif kind == "delete":
+            del files[path]
+            event = (path, None, "delete")
+        else:
+            to = rng.choice(names)
+            files[to] = files.pop(path)
+            event = (to, path, "rename")
+        out.append(((i // 3, i, *event), dict(files)))  # times repeat, numbers don't
+    return out
+
+
+def one_by_one(log):
+    """What applying the events one at a time leaves: path to (key of the first event, text)."""
+    state = {}
+    for (ts, seq, path, old, action), files in log:
+        if action == "delete":
+            state.pop(path, None)
+        elif action == "rename":
+            if path == old:
+                continue
+            state[path] = state.pop(old, None) or [(path, ts, seq), files[path]]
+        else:
+            state.setdefault(path, [(path, ts, seq), None])[1] = files[path]
+    return {p: (key, text) for p, (key, text) in state.items() if text.strip()}
+
+
+def state_of(store):
+    import uuid
+
+    docs = {x.file_path: (x.doc_id, x.n_chars, x.file_hash) for x in store.documents().collect()}
+    ids = {d for d, *_ in docs.values()}
+    assert {x.doc_id for x in store.chunks().collect()} == ids == {x.doc_id for x in store.postings().collect()}
+    return docs, {x.file_path: x.text for x in store.chunks().withColumnRenamed("content", "text").join(store.documents().select("doc_id", "file_path"), "doc_id").collect()}, uuid
+
+
+@pytest.mark.parametrize("seed,cuts", [(2, [9, 30]), (4, [7])])
+def test_any_cut_ends_as_one_by_one(spark, tmp_path, seed, cuts):
+    log = log_of(seed, 60)
+    disk = Disk(spark)
+    store = IndexStore(spark, f"file://{tmp_path}/index", disk.load)
+    bounds = [0, *cuts, len(log)]
+    for number, (a, b) in enumerate(zip(bounds, bounds[1:])):
+        disk.files = log[b - 1][1]
+        rows = [e for e, _ in log[a:b]]
+        random.Random(seed).shuffle(rows)
+        store.apply(spark.createDataFrame(rows + rows[:2], EVENTS), number)  # some come twice
+    docs, texts, _ = state_of(store)
+    want = one_by_one(log)
+    assert texts == {p: t for p, (_, t) in want.items()} and want
+    keys = {p: k for p, (k, _) in want.items()}
+    ids = {r.path: r.id for r in spark.createDataFrame([(p, f"{k[0]}:{k[1]}:{k[2]}") for p, k in keys.items()], "path string, name string").select("path", S.T.uuid5(S.F.col("name")).alias("id")).collect()}
+    assert {p: d for p, (d, *_) in docs.items()} == ids
+
+
+def test_one_by_one_in_the_store_itself(spark, tmp_path):
+    log = log_of(5, 9)
+    found = []
+    for size in (1, len(log)):
+        disk = Disk(spark)
+        store = IndexStore(spark, f"file://{tmp_path}/index{size}", disk.load)
+        for number, a in enumerate(range(0, len(log), size)):
+            disk.files = log[min(a + size, len(log)) - 1][1]
+            store.apply(spark.createDataFrame([e for e, _ in log[a : a + size]], EVENTS), number)
+        found.append(state_of(store)[:2])
+    assert found[0] == found[1]
+
 
+def test_chains_and_new_files_that_move(spark, tmp_path):
+    disk = Disk(spark, **{"/a": "one"})
+    store = IndexStore(spark, f"file://{tmp_path}/index", disk.load)
+    rows = lambda *r: spark.createDataFrame([(i, 0, *x) for i, x in enumerate(r)], EVENTS)
+    store.apply(rows(("/a", None, "create")), 0)
+    first = store.documents().first().doc_id
+    disk.files = {"/c": "one", "/y": "two"}
+    store.apply(rows(("/b", "/a", "rename"), ("/x", None, "create"), ("/c", "/b", "rename"), ("/y", "/x", "rename")), 1)
+    got = {x.file_path: x.doc_id for x in store.documents().collect()}
+    assert got["/c"] == first and set(got) == {"/c", "/y"}
+    chain = lifetimes(rows(*[(f"/p{i + 1}", f"/p{i}", "rename") for i in range(40)])).where("not ended").collect()
+    assert [(x.start, x.path, x.born_path) for x in chain] == [("/p0", "/p40", "/p1")]
 
-def test_batches(spark, tmp_path):
-    texts = {"/ws/a.txt": "alpha beta", "/ws/b.txt": "gamma", "/ws/c.txt": " ", "/ws/d.txt": "delta"}
 
-    def load(paths):
-        rows = [(x.file_path, texts[x.file_path]) for x in paths.collect() if x.file_path in texts]
-        return spark.createDataFrame(rows, "file_path string, text string")
+def test_a_file_that_was_gone_is_read_where_it_went(spark, tmp_path):
+    disk = Disk(spark, **{"/b": "text"})  # the disk is ahead of the events
+    store = IndexStore(spark, f"file://{tmp_path}/index", disk.load)
+    store.apply(spark.createDataFrame([(1, 1, "/a", None, "create")], EVENTS), 0)
+    assert store.documents().count() == 0
+    store.apply(spark.createDataFrame([(2, 2, "/b", "/a", "rename")], EVENTS), 1)
+    assert [(x.file_path, x.n_chars) for x in store.documents().collect()] == [("/b", 4)]
+    assert store.chunks().count() == 1
 
-    store = IndexStore(spark, f"file://{tmp_path}/index", load)
-    batch = lambda *rows: spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], EVENTS)
-    state = lambda: {x.file_path: (x.doc_id, x.n_chars) for x in store.documents().collect()}
-    terms = lambda: {x.term for x in store.postings().collect()}
 
-    store.apply(batch(*((p, None, "create") for p in texts), ("/ws/gone.txt", None, "create")), 0)
-    first = state()
-    assert {p: n for p, (_, n) in first.items()} == {"/ws/a.txt": 10, "/ws/b.txt": 5, "/ws/d.txt": 5}
+def test_restarts_and_compaction(spark, tmp_path):
+    disk = Disk(spark, **{"/a": "alpha", "/b": "beta"})
+    store = IndexStore(spark, f"file://{tmp_path}/index", disk.load)
+    one = lambda ts, *r: spark.createDataFrame([(ts, 0, *r)], EVENTS)
+    store.apply(one(1, "/a", None, "create"), 0, "first")
+    store.apply(one(2, "/b", None, "create"), 0, "second")  # another checkpoint begins at 0 again
+    assert {x.file_path for x in store.documents().collect()} == {"/a", "/b"}
+    disk.files["/a"] = "changed"
+    store.apply(one(1, "/a", None, "modify"), 0, "first")  # came again after it was done
+    assert store.documents().where("n_chars = 7").count() == 0
+    for round_ in (1, 2):
+        before = sorted(map(tuple, store.documents().drop("content").collect())), sorted(map(tuple, store.postings().select("doc_id", "term").collect()))
+        store.compact()
+        assert (sorted(map(tuple, store.documents().drop("content").collect())), sorted(map(tuple, store.postings().select("doc_id", "term").collect()))) == before
+        assert len(list((tmp_path / "index").glob("generation=*/chunks/part=[0-9]*"))) <= 3
+        store.apply(one(2, "/b", None, "modify"), 0, "second")
+        store.apply(one(3 + round_, "/a", None, "modify"), round_, "first")
+    assert {x.file_path: x.n_chars for x in store.documents().collect()} == {"/a": 7, "/b": 4}
+    store.apply(spark.createDataFrame([], EVENTS), 9, "first")
+    store.apply(one(9, "/a", None, "delete"), 10, "first")
+    assert [x.file_path for x in store.documents().collect()] == ["/b"] and {x.term for x in store.postings().collect()} == {"beta"}
 
-    texts["/ws/a.txt"] = "alpha omega"
-    events = batch(("/ws/a.txt", None, "modify"), ("/ws/e.txt", "/ws/b.txt", "rename"), ("/ws/d.txt", None, "modify"), ("/ws/x.txt", None, "delete"))
-    for _ in range(2):  # a batch that comes again changes nothing more
-        store.apply(events, 1)
-        second = state()
-        assert second["/ws/a.txt"] == (first["/ws/a.txt"][0], 11) and second["/ws/e.txt"] == first["/ws/b.txt"] and second["/ws/d.txt"] == first["/ws/d.txt"] and len(second) == 3
-        assert terms() == {"alpha", "omega", "gamma", "delta"}
-        assert store.chunks().count() == 3
 
-    store.apply(batch(("/ws/d.txt", "/ws/e.txt", "rename"), ("/ws/a.txt", None, "delete")), 2)
-    assert state() == {"/ws/d.txt": first["/ws/b.txt"]}
-    assert terms() == {"gamma"}
+def test_load_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(S, "PATHS_AT_ONCE", 2)
+    names = ["a[1].txt", "b{x}.txt", "c*.txt", "d.txt"]
+    for n in names:
+        (tmp_path / n).write_text(n)
+    paths = spark.createDataFrame([(f"{tmp_path}/{n}",) for n in [*names, "gone.txt", "d.txt"]], "file_path string")
+    assert sorted((x.file_path, x.text) for x in S.load_files(paths).collect()) == sorted((f"{tmp_path}/{n}", n) for n in names)
+    assert S.load_files(paths.limit(0)).count() == 0
 
 
 def test_stream_of_files(spark, tmp_path):
@@ -43,11 +166,13 @@ def test_stream_of_files(spark, tmp_path):
     rows = spark.createDataFrame([(1, "created", path, None), (2, "created", f"{tmp_path}/ws/a.tmp", None)], "ts long, event_type string, path string, dest_path string")
     rows.write.parquet(f"{tmp_path}/events")
     store = IndexStore(spark, f"file://{tmp_path}/index")
-    query = store.follow(spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/events"), spark.createDataFrame([(f"{tmp_path}/ws/",)], "path string"), f"{tmp_path}/checkpoint")
-    query.processAllAvailable()
-    query.stop()
-    assert [x.file_path for x in store.documents().collect()] == [path]
-    assert {x.term for x in store.postings().collect()} == {"alpha", "beta"}
+    watched = spark.createDataFrame([(f"{tmp_path}/ws/",)], "path string")
+    for run in ("checkpoint", "again"):  # a new checkpoint reads the same events again
+        query = store.follow(spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/events"), watched, f"{tmp_path}/{run}", compact_every=1)
+        query.processAllAvailable()
+        query.stop()
+        assert [x.file_path for x in store.documents().collect()] == [path]
+        assert {x.term for x in store.postings().collect()} == {"alpha", "beta"}
 
 
 def test_text_hooks_that_fail_are_skipped(spark):
