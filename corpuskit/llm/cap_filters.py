@@ -9,6 +9,7 @@ share one are compared in double precision.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 from statistics import NormalDist
@@ -21,8 +22,10 @@ from corpuskit.llm._text import groups, read
 from corpuskit.operators.components import connected_components
 from corpuskit.plans.scratch import Scratch
 
-#: Filters that a vector exceeds on average, and that it has at least (its best ones).
+#: Filters that a vector exceeds on average, and that it has at least (its best ones) before these are fitted to ``RECALL``.
 MEAN_FILTERS, LEAST_FILTERS = 16, 8
+#: Share of pairs just at the cosine that are to share a filter, on ``DRAWN`` random pairs.
+RECALL, DRAWN = 0.98, 400
 #: Vectors of unrelated directions that one filter holds on average.
 PER_FILTER = 1.0
 #: Rows of one block of a filter; larger filters are compared block by block.
@@ -43,17 +46,40 @@ def code(dim: int, words: int, half: int) -> np.ndarray:
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
-def list_decode(unit: np.ndarray, codes: tuple[np.ndarray, np.ndarray], threshold: float) -> list[np.ndarray]:
-    """For each unit vector the numbers of all directions above the threshold, and at least its best ones."""
+@functools.lru_cache(maxsize=64)
+def least_filters(words: int, level: float, dim: int, cosine: float) -> int:
+    """How many of its best filters each vector needs, so that pairs at ``cosine`` share one with ``RECALL``.
+
+    Measured on random pairs at just that cosine with the very codes: more
+    vectors mean sharper filters, which such pairs share less often, so the
+    number grows with the table. Closer pairs are found more often.
+    """
+    rng = np.random.default_rng([SEED, dim, words])
+    one, other = rng.standard_normal((2, DRAWN, dim))
+    one /= np.linalg.norm(one, axis=1, keepdims=True)
+    other -= (other * one).sum(axis=1, keepdims=True) * one
+    other /= np.maximum(np.linalg.norm(other, axis=1, keepdims=True), 1e-300)
+    other = cosine * one + math.sqrt(max(0.0, 1 - cosine * cosine)) * other
+    other /= np.linalg.norm(other, axis=1, keepdims=True)  # of one dimension there are no such pairs
+    codes, least = (code(dim, words, 0), code(dim, words, 1)), LEAST_FILTERS
+    while True:
+        a, b = (list_decode(v, codes, level * math.sqrt(2 / dim), least) for v in (one, other))
+        if np.mean([len(np.intersect1d(x, y)) > 0 for x, y in zip(a, b)]) >= RECALL or least >= words * words:
+            return least
+        least = -(-least * 5 // 4)
+
+
+def list_decode(unit: np.ndarray, codes: tuple[np.ndarray, np.ndarray], threshold: float, least: int = LEAST_FILTERS) -> list[np.ndarray]:
+    """For each unit vector the numbers of all directions above the threshold, and at least its ``least`` best ones."""
     words, cut = len(codes[0]), max(1, unit.shape[1] // 2)
     left, right = unit[:, :cut] @ codes[0].T, unit[:, unit.shape[1] - codes[1].shape[1] :] @ codes[1].T
     order_l, order_r = np.argsort(-left, axis=1), np.argsort(-right, axis=1)
     out = []
     for a, b, i, j in zip(left, right, order_l, order_r):
         la, rb = a[i], b[j]
-        top = min(words, LEAST_FILTERS)
+        top = min(words, least)
         best = np.sort((la[:top, None] + rb[None, :top]).ravel())
-        level = min(threshold, best[-LEAST_FILTERS] if len(best) >= LEAST_FILTERS else best[0])
+        level = min(threshold, best[-least] if len(best) >= least else best[0])
         p, q = np.searchsorted(-la, rb[0] - level, side="right"), np.searchsorted(-rb, la[0] - level, side="right")
         x, y = np.nonzero(la[:p, None] + rb[None, :q] >= level)
         out.append(np.sort(i[x] * words + j[y]))
@@ -65,7 +91,7 @@ def _rows(batch: pa.RecordBatch, name: str) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
-def filters(vectors: DataFrame, words: int, level: float) -> DataFrame:
+def filters(vectors: DataFrame, words: int, level: float, cosine: float) -> DataFrame:
     """``(rep, dim, filters)``: the decoded filters of each distinct vector."""
     schema = pa.schema([("rep", pa.int64()), ("dim", pa.int32()), ("filters", pa.list_(pa.int64()))])
 
@@ -81,7 +107,7 @@ def filters(vectors: DataFrame, words: int, level: float) -> DataFrame:
                     batch = part.slice(a, 500)
                     v = _rows(batch, "v")
                     unit = v / np.linalg.norm(v, axis=1, keepdims=True)
-                    found = list_decode(unit, codes[dim], level * math.sqrt(2 / dim))
+                    found = list_decode(unit, codes[dim], level * math.sqrt(2 / dim), least_filters(words, level, dim, cosine))
                     yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("dim"), pa.array(found, pa.list_(pa.int64()))], schema=schema)
 
     return vectors.select("rep", "dim", "v").mapInArrow(run, "rep long, dim int, filters array<long>")
@@ -128,15 +154,17 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec_id
     held = "array<float>" if dict(vectors.dtypes)[vector_col] == "array<float>" else "array<double>"
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast(held).alias("v"))
     sound = F.expr("v is not null and size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('Infinity')) and exists(v, x -> x <> 0)")
-    norm = "sqrt(aggregate(v, 0D, (a, x) -> a + double(x) * double(x)))"
-    rows = rows.withColumn("ok", F.coalesce(sound, F.lit(False))).withColumn("ok", F.col("ok") & F.expr(f"coalesce({norm} > 0 and {norm} < double('Infinity'), false)"))
+    rows = rows.withColumn("ok", F.coalesce(sound, F.lit(False)))
+    if held == "array<double>":  # squares of very small and very large entries leave the range of doubles
+        square = "aggregate(v, 0D, (a, x) -> a + x * x)"
+        rows = rows.withColumn("v", F.expr(f"case when ok and not ({square} between 1e-250 and 1e250) then transform(v, x -> x / array_max(transform(v, y -> abs(y)))) else v end"))
     rows = rows.withColumn("key", F.when(F.col("ok"), F.sha2(F.to_json("v"), 256)))
     keyed = scratch.table(rows.select("id", "key"), "keyed")
     equal = rows.where("ok").groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("m"), F.first("v").alias("v"))
     equal = scratch.table(equal.withColumn("dim", F.size("v")), "distinct")
     words, level = parameters(equal.count())
 
-    decoded = scratch.table(filters(equal, words, level), "decoded")
+    decoded = scratch.table(filters(equal, words, level, cosine), "decoded")
     entries = decoded.select("rep", "dim", F.explode("filters").alias("f"))
     sizes = entries.groupBy("dim", "f").agg(F.count("*").alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     # Of a vector's filters only those that hold others too, and at each filter those before it, tell where a pair was met.

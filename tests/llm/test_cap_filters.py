@@ -1,7 +1,11 @@
 """Cap filters against all pairs."""
 
+import math
+
 import numpy as np
+import pytest
 
+from corpuskit.llm import cap_filters as C
 from corpuskit.llm.cap_filters import _compare, near_vectors
 
 ROWS = "vec_id long, embedding array<double>, label int, v int, m int"
@@ -62,3 +66,23 @@ def test_links_count_in_the_first_common_filter():
 
 def test_empty_table(spark):
     assert near_vectors(spark.createDataFrame([], ROWS)).count() == 0
+
+
+@pytest.mark.parametrize("n,dim", [(500, 64), (10**4, 64), (10**6, 64), (10**8, 64), (10**6, 256)])
+def test_pairs_at_the_cosine_share_filters_in_tables_of_any_size(n, dim):
+    rng = np.random.default_rng(n + dim)  # other pairs than those that the filters are fitted on
+    a, b = rng.standard_normal((2, 300, dim))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (b * a).sum(axis=1, keepdims=True) * a
+    b = 0.951 * a + math.sqrt(1 - 0.951**2) * b / np.linalg.norm(b, axis=1, keepdims=True)
+    words, level = C.parameters(n)
+    codes, least = (C.code(dim, words, 0), C.code(dim, words, 1)), C.least_filters(words, level, dim, 0.95)
+    found = [C.list_decode(v, codes, level * math.sqrt(2 / dim), least) for v in (a, b)]
+    assert np.mean([len(np.intersect1d(x, y)) > 0 for x, y in zip(*found)]) >= 0.95
+
+
+def test_very_small_and_very_large_entries(spark):
+    rows = [(1, [1.0, 2.0, 3.0]), (2, [1e-200, 2e-200, 3e-200]), (3, [1e200, 2e200, 3e200]), (4, [5e-324, 0.0, 0.0]), (5, [1e308, 0.0, 0.0]), (6, [0.0, 0.0, 0.0]), (7, [-1.0, -2.0, -3.0])]
+    df = spark.createDataFrame([(i, v, 0, 1, 2) for i, v in rows], ROWS)
+    got = {x.vec_id: (x.n_links, x.component_id) for x in near_vectors(df).collect()}
+    assert got == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (1, 4), 5: (1, 4), 6: (0, 6), 7: (0, 7)}
