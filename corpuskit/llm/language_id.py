@@ -216,7 +216,34 @@ def documents_as_rows(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("id"), F.col(text_col).alias("text"), F.col("lang").alias("declared"), F.col("source").alias("host"))
 
 
-_TAGS = re.compile(rb"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>")
+_OPENS = re.compile(rb"(?i)<(script|style)\b|<!--")
+_CLOSES = {b"script": re.compile(rb"(?i)</script\s*>"), b"style": re.compile(rb"(?i)</style\s*>"), b"": re.compile(rb"-->")}
+
+
+def visible(page: bytes) -> bytes:
+    """What stands outside tags, comments, scripts and styles, a blank for each of them.
+
+    One pass: a script, style or comment that is never closed hides nothing but
+    its tag, and no later one of its kind is looked at again; a ``<`` that no
+    ``>`` follows is text.
+    """
+    out, at, unclosed = [], 0, set()
+    while (start := page.find(b"<", at)) >= 0:
+        end, opened = -1, _OPENS.match(page, start)
+        kind = (opened[1] or b"").lower() if opened else None
+        if opened and kind not in unclosed:
+            closed = _CLOSES[kind].search(page, opened.end())
+            if closed:
+                end = closed.end()
+            else:
+                unclosed.add(kind)
+        if end < 0:
+            end = page.find(b">", start) + 1
+            if not end:
+                break
+        out.append(page[at:start])
+        at = end
+    return b" ".join([*out, page[at:]])
 
 
 def pages_as_rows(pages: DataFrame) -> DataFrame:
@@ -224,10 +251,10 @@ def pages_as_rows(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "html"):
-            text = [_TAGS.sub(b" ", x).decode("utf-8", "replace") for x in texts(batch, "html").cast(pa.binary()).to_pylist()]
+            text = [visible(x).decode("utf-8", "replace") for x in texts(batch, "html").cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(text, pa.string()), batch.column("declared"), batch.column("host")], names=["id", "text", "declared", "host"])
 
-    declared = F.regexp_extract(F.coalesce("html", F.lit("")), r"(?i)<html\b[^>]*?\slang\s*=\s*[\"']?([A-Za-z-]+)", 1)
+    declared = F.regexp_extract(F.coalesce("html", F.lit("")), r"(?i)<html\b[^<>]*?\slang\s*=\s*[\"']?([A-Za-z-]+)", 1)
     host = F.regexp_extract(F.coalesce("url", F.lit("")), r"(?i)^[a-z][a-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1)
     rows = pages.select(F.col("page_id").cast("long").alias("id"), "html", F.nullif(declared, F.lit("")).alias("declared"), F.nullif(host, F.lit("")).alias("host"))
     return rows.mapInArrow(tidy(run), "id long, text string, declared string, host string")

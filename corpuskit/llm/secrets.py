@@ -39,11 +39,11 @@ WORDS = (
 ).split()
 ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm")
 NEXT = {a + b for row in ROWS for a, b in [*zip(row, row[1:]), *zip(row[::-1], row[-2::-1])]}
-DATE = re.compile(r"(?:19|20)\d\d(?:[-/.]?(?:0[1-9]|1[0-2])(?:[-/.]?(?:0[1-9]|[12]\d|3[01]))?)?")
+_YEAR, _MONTH, _DAY = r"(?:19|20)\d\d", r"[-/.]?(?:0[1-9]|1[0-2])", r"[-/.]?(?:0[1-9]|[12]\d|3[01])"
+#: A year, a month of it, a day of it.
+DATES = [re.compile(x) for x in (_YEAR, _YEAR + _MONTH, _YEAR + _MONTH + _DAY)]
 #: A value counts as a secret from 10 to this power guesses on.
 GUESSES_LOG10 = 8.0
-#: A longer repeat or walk is several parts, so that a long value takes linear time.
-LONGEST_PART = 64
 
 
 class Dictionary:
@@ -66,26 +66,40 @@ def vocabulary(path: str) -> Dictionary:
     return Dictionary(w for w in words if len(w) >= 3 and w.isascii() and w.isalpha())
 
 
-def _parts(value: str, at: int, words: Dictionary = COMMON) -> Iterator[tuple[int, float, str]]:
-    """Parts that start at a place: (end, log10 of guesses, kind)."""
-    low, n = value[at : at + max(words.longest, LONGEST_PART)].lower(), len(value)
-    for end in range(at + 3, min(n, at + words.longest) + 1):
-        if rank := words.rank.get(low[: end - at]):
-            upper = 0.3 * (value[at:end] != low[: end - at])
+def _listed(value: str, low: str, at: int, words: Dictionary) -> Iterator[tuple[int, float, str]]:
+    """Words and dates that start at a place: (end, log10 of guesses, kind)."""
+    for end in range(at + 3, min(len(value), at + words.longest) + 1):
+        if rank := words.rank.get(low[at:end]):
+            upper = 0.3 * (value[at:end] != low[at:end])
             yield end, math.log10(rank + 1) + upper, "word"
-    for m in [DATE.match(value, at)] if value[at] in "12" else []:
-        if m:
-            yield m.end(), 4.0 if m.end() - at > 4 else 2.1, "date"
-    end = at + 1
-    while end < min(n, at + LONGEST_PART) and value[end] == value[at]:
-        end += 1
-    if end - at >= 3:
-        yield end, math.log10(_size(value[at]) * (end - at)), "repeat"
-    end = at + 1
-    while end < min(n, at + LONGEST_PART) and low[end - 1 - at : end + 1 - at] in NEXT:
-        end += 1
-    if end - at >= 3:
-        yield end, math.log10(40 * (end - at)), "walk"
+    if value[at] in "12":
+        for k, form in enumerate(DATES):
+            if m := form.match(value, at):
+                yield m.end(), 4.0 if k else 2.1, "date"
+
+
+class _Run:
+    """Repeats or walks that end where the value has been read to: their possible starts and what leads up to them.
+
+    A part of n characters costs log10(weight n), which grows ever slower: of
+    two starts the earlier one that was no dearer to reach stays the better once
+    it is, and the later one that was no dearer always is. So few are kept.
+    """
+
+    def __init__(self, kind: str):
+        self.kind, self.starts, self.weight = kind, [], 0
+
+    def begin(self, weight: int) -> None:
+        self.starts, self.weight = [], weight
+
+    def best(self, end: int) -> tuple[float, int] | None:
+        """The least cost up to ``end`` with such a part last, and its start."""
+        open_ = [(cost + math.log10(self.weight * (end - at)), at, cost) for at, cost in self.starts if end - at >= 3]
+        if not open_:
+            return None
+        total, start, reached = min(open_)
+        self.starts = [(at, cost) for at, cost in self.starts if end - at < 3 or at == start or cost < reached]
+        return total, start
 
 
 def _size(c: str) -> int:
@@ -101,17 +115,27 @@ def guess_cost(value: str, words: Dictionary = COMMON) -> tuple[float, list[tupl
     end, which the next character may continue, and with another. The empty
     value costs 0.
     """
-    n = len(value)
+    n, low = len(value), value.lower()
     best = [[0.0, math.inf]] + [[math.inf, math.inf] for _ in range(n)]  # by whether the last part is brute force
     back: list[list[tuple[int, int, str]]] = [[(0, 0, ""), (0, 0, "")] for _ in range(n + 1)]
+    repeats, walks = _Run("repeat"), _Run("walk")
     for at in range(n):
-        single, low = math.log10(_size(value[at])), int(best[at][1] < best[at][0])
+        single, brute = math.log10(_size(value[at])), int(best[at][1] < best[at][0])
         for last, cost in ((0, best[at][0] + single + 0.3), (1, best[at][1] + single)):
             if cost < best[at + 1][1]:
                 best[at + 1][1], back[at + 1][1] = cost, (at, last, "brute")
-        for end, cost, kind in _parts(value, at, words):
-            if best[at][low] + cost + 0.3 < best[end][0]:
-                best[end][0], back[end][0] = best[at][low] + cost + 0.3, (at, low, kind)
+        for end, cost, kind in _listed(value, low, at, words):
+            if best[at][brute] + cost + 0.3 < best[end][0]:
+                best[end][0], back[end][0] = best[at][brute] + cost + 0.3, (at, brute, kind)
+        if not at or value[at] != value[at - 1]:
+            repeats.begin(_size(value[at]))
+        if not at or low[at - 1 : at + 1] not in NEXT:
+            walks.begin(40)
+        for run in (repeats, walks):
+            run.starts.append((at, best[at][brute]))
+            if (found := run.best(at + 1)) and found[0] + 0.3 < best[at + 1][0]:
+                start = found[1]
+                best[at + 1][0], back[at + 1][0] = found[0] + 0.3, (start, int(best[start][1] < best[start][0]), run.kind)
     out, at, last = [], n, int(best[n][1] < best[n][0])
     total = best[n][last]
     while at:

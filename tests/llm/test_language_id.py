@@ -116,3 +116,17 @@ def test_pages(spark):
 def test_empty_table(spark):
     _, train = corpus(spark, 1, 50, 40)
     assert li.identify(spark.createDataFrame([], ROWS), li.fit(train, "text", "lang", "doc_id")).count() == 0
+
+
+def test_pages_are_read_in_one_pass():
+    import time
+
+    from corpuskit.llm.language_id import visible
+
+    begun = time.time()
+    for page in (b"<" * 2_000_000, b"<script>x" * 200_000, b"<!--" * 500_000, b"<style" * 300_000, b"<html lang" * 200_000):
+        visible(page)
+    assert time.time() - begun < 10
+    assert visible(b"a<b>c<script>if (1 < 2) x</SCRIPT >d<!-- <p> -->e<style>p{}</style>f < g") == b"a c d e f < g"
+    assert visible(b"a<script>b<i>c") == b"a b c" and visible(b"<!-- a <b>c") == b" c" and visible(b"") == b""
+    assert visible(b'<a title="<script>">x</script>') == b' ">x '

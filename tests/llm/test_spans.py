@@ -1,6 +1,7 @@
 """PII and secret scans against the plain patterns, run by Python's re."""
 
 import hashlib
+import math
 import random
 import re
 
@@ -107,24 +108,43 @@ def test_guess_cost_orders_values(weak, strong):
     assert secrets.guess_cost(weak)[0] < 8 < secrets.guess_cost(strong)[0] or secrets.guess_cost(weak)[0] + 3 < secrets.guess_cost(strong)[0]
 
 
-def test_guess_cost_is_the_minimum():
-    def brute(value, at=0, before=""):
-        if at == len(value):
-            return 0.0
-        import math
+def every_part(text, ranks):
+    """log10 of the guesses of each way to read a whole text as one part, by the definitions alone."""
+    rows = ["1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm"]
+    beside = {x + y for r in rows for x, y in zip(r, r[1:])} | {y + x for r in rows for x, y in zip(r, r[1:])}
+    low, out = text.lower(), []
+    if len(text) >= 3 and low in ranks:
+        out.append(math.log10(ranks[low] + 1) + (0.3 if text != low else 0.0))
+    if re.fullmatch(r"(19|20)\d\d", text):
+        out.append(2.1)
+    if re.fullmatch(r"(19|20)\d\d[-/.]?(0[1-9]|1[0-2])([-/.]?(0[1-9]|[12]\d|3[01]))?", text):
+        out.append(4.0)
+    if len(text) >= 3 and len(set(text)) == 1:
+        out.append(math.log10((10 if text[0].isdigit() else 26 if text[0].isalpha() else 33) * len(text)))
+    if len(text) >= 3 and all(x + y in beside for x, y in zip(low, low[1:])):
+        out.append(math.log10(40 * len(text)))
+    return out
+
+
+def least_cost(text, ranks):
+    n = len(text)
+    least = [0.0] + [math.inf] * n
+    for end in range(1, n + 1):
+        for at in range(end):
+            brute = sum(math.log10(10 if c.isdigit() else 26 if c.isalpha() else 33) for c in text[at:end])
+            least[end] = min([least[end], least[at] + brute + 0.3, *(least[at] + c + 0.3 for c in every_part(text[at:end], ranks))])
+    return least[n]
 
-        best = math.log10(secrets._size(value[at])) + (0.0 if before == "brute" else 0.3) + brute(value, at + 1, "brute")
-        for end, cost, kind in secrets._parts(value, at, words):
-            best = min(best, cost + 0.3 + brute(value, end, kind))
-        return best
 
+def test_guess_cost_is_the_minimum():
     r = random.Random(5)
     words = secrets.Dictionary(["passw", "word", "rty2", "zzx"])
-    for _ in range(150):
-        v = "".join(r.choice(["pass", "word", "a", "1", "12", "qwe", "rty", "2001", "zz", "X"]) for _ in range(4))
+    drawn = ["".join(r.choice(["pass", "word", "a", "1", "12", "qwe", "rty", "2001", "zz", "X", "1999-12", "1111", "0", "asdfg", "--", "uiop"]) for _ in range(r.randrange(1, 7))) for _ in range(400)]
+    for v in [*drawn, "qwertyuiopassword", "1111111119991231", "a" * 150 + "qwertyuiop" * 9, "", "20011231", "2001-1-1", "PASSWORDpassword"]:
         cost, parts = secrets.guess_cost(v, words)
-        assert cost == pytest.approx(brute(v))
-        assert [a for a, _, _ in parts] == [0, *(b for _, b, _ in parts[:-1])] and parts[-1][1] == len(v)
+        assert cost == pytest.approx(least_cost(v, words.rank)), v
+        assert [a for a, _, _ in parts] == [0, *(b for _, b, _ in parts[:-1])][: len(parts)] and (not v or parts[-1][1] == len(v))
+    assert secrets.guess_cost("qwertyuiopassword")[0] < 3.5 and secrets.guess_cost("1111111119991231")[0] < 6.6
 
 
 def test_vocabulary_words_are_cheap():
