@@ -116,6 +116,11 @@ def listing_folders(spark, d):
 
 def placement_by_search(spark, d):
     """Folders of every 50th document by shared terms and by one hybrid search with its first chunk."""
+    return P.score_folders(searched_pairs(spark, d)[0]).drop("forced")
+
+
+def searched_pairs(spark, d):
+    """Graph and rerank scores of every 50th document against the known folders, and these documents."""
     scratch = Scratch(spark, "placement_by_search")
     docs, chunks = W.documents(spark, d), W.chunks(spark, d)
     asked = chunks.where("chunk_index = 0 and doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.array_join(keyword.terms(F.col("content")), " ").alias("query"))
@@ -130,8 +135,7 @@ def placement_by_search(spark, d):
     folders = _folders(spark, d).withColumn("folder", F.concat(F.lit("/ws/"), "folder"))
     mine = docs.join(asked.select(F.col("query_id").alias("doc_id")), "doc_id", "left_semi")
     graph = P.graph_scores(W.terms(spark, d).select("doc_id", "term").join(mine.select("doc_id"), "doc_id", "left_semi"), folders)
-    pairs = P.candidate_pairs(graph, rerank, mine, docs.select(F.col("workspace_path").alias("folder")).distinct())
-    return P.score_folders(pairs).drop("forced")
+    return P.candidate_pairs(graph, rerank, mine, docs.select(F.col("workspace_path").alias("folder")).distinct()), mine
 
 
 def _word_hits(chunks, phrases):
