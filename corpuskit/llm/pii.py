@@ -8,6 +8,7 @@ lengths of pieces and matches is each match's start.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -111,9 +112,44 @@ def _confirmed(kind: str, m: Column) -> Column:
 SPAN = "array<struct<kind:string,start:int,end:int,score:double>>"
 
 
-def _spans(text: Column, k: Kind) -> Column:
+#: Matches of one text that are walked at a time, so that a text of many takes linear time: arrays grow by copying.
+BLOCK = 256
+
+
+def _once(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """``fn`` of a value that is computed once, however often ``fn`` and the lambdas in it name it."""
+    return F.element_at(F.transform(F.array(value), fn), 1)
+
+
+def _blocks(items: Column) -> Column:
+    """An array cut into arrays of ``BLOCK`` entries; of an empty one a single empty block."""
+
+    def cut(x: Column) -> Column:
+        last = F.greatest(F.floor((F.size(x) - 1) / BLOCK), F.lit(0)).cast("int")
+        return F.transform(F.sequence(F.lit(0), last), lambda b: F.slice(x, b * BLOCK + 1, F.lit(BLOCK)))
+
+    return _once(items, cut)
+
+
+def _likely(text: Column, k: Kind) -> Column:
+    return F.contains(text, F.lit(k.hint)) if k.name == "email" else text.rlike(k.hint)
+
+
+def _matches(text: Column, k: Kind) -> Column:
+    """Blocks of pieces and the matches after them, each block with its length and its last characters; null if there are none."""
+    found = F.regexp_extract_all(text, F.lit(k.pattern), F.lit(0))
+    pairs = _once(found, lambda f: F.arrays_zip(F.slice(F.split(text, k.pattern, -1), F.lit(1), F.size(f)).alias("0"), f.alias("1")))
+
+    def told(block: Column) -> Column:
+        size = F.aggregate(block, F.lit(0), lambda a, x: a + F.length(x["0"]) + F.length(x["1"]))
+        whole = F.array_join(F.transform(block, lambda x: F.concat(x["0"], x["1"])), "")
+        return F.struct(block.alias("items"), size.alias("size"), F.right(whole, F.lit(WINDOW)).alias("tail"))
+
+    return F.when(_likely(text, k), F.transform(_blocks(pairs), told))
+
+
+def _spans(blocks: Column, k: Kind) -> Column:
     """The confirmed spans of one kind as structs, in order of their starts."""
-    parts, found = F.split(text, k.pattern, -1), F.regexp_extract_all(text, F.lit(k.pattern), F.lit(0))
 
     def walk(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["0"])
@@ -122,13 +158,14 @@ def _spans(text: Column, k: Kind) -> Column:
         tail = F.right(F.concat(acc["tail"], x["0"], x["1"]), F.lit(WINDOW))
         return F.struct((start + F.length(x["1"])).alias("at"), tail.alias("tail"), F.when(told.isNotNull(), F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
 
-    first = F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), F.array().cast("array<struct<start:int,end:int,before:string>>").alias("out"))
-    pairs = F.arrays_zip(F.slice(parts, F.lit(1), F.size(found)).alias("0"), found.alias("1"))
-    walked = F.aggregate(pairs, first, walk)["out"]
+    none = F.array().cast("array<struct<start:int,end:int,before:string>>")
+    # Where each block begins and what stands before it; a full block is longer than WINDOW.
+    first = F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), F.array().cast("array<struct<at:int,tail:string>>").alias("out"))
+    ahead = F.aggregate(blocks, first, lambda a, t: F.struct((a["at"] + t["size"]).alias("at"), t["tail"].alias("tail"), F.concat(a["out"], F.array(F.struct(a["at"].alias("at"), a["tail"].alias("tail")))).alias("out")))["out"]
+    walked = F.flatten(F.zip_with(blocks, ahead, lambda t, c: F.aggregate(t["items"], F.struct(c["at"].alias("at"), c["tail"].alias("tail"), none.alias("out")), walk)["out"]))
     scored = F.transform(walked, lambda s: F.struct(F.lit(k.name).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.when(s["before"].rlike(k.near), F.lit(k.near_score)).otherwise(F.lit(k.base)).alias("score")))
     kept = scored if k.name in BASE else F.filter(scored, lambda s: s["score"] >= KEEP_SCORE)
-    likely = F.contains(text, F.lit(k.hint)) if k.name == "email" else text.rlike(k.hint)
-    return F.when(likely, kept.cast(SPAN)).otherwise(F.array().cast(SPAN))
+    return F.coalesce(F.when(blocks.isNotNull(), kept.cast(SPAN)), F.array().cast(SPAN))
 
 
 def find_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -136,10 +173,11 @@ def find_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     Columns are named ``pii_<kind>`` (a column of that name is replaced). Null
     and empty texts have empty arrays. Spans of one kind don't overlap; spans
-    of different kinds may.
+    of different kinds may. A text of many matches takes time in proportion.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.withColumns({f"pii_{k.name}": _spans(text, k) for k in KINDS})
+    met = docs.withColumns({f"_pii_{k.name}_blocks": _matches(text, k) for k in KINDS})
+    return met.withColumns({f"pii_{k.name}": _spans(F.col(f"_pii_{k.name}_blocks"), k) for k in KINDS}).drop(*(f"_pii_{k.name}_blocks" for k in KINDS))
 
 
 def _join(names: tuple[str, ...]) -> Column:
@@ -154,16 +192,31 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """
     columns = docs.columns
     found = find_pii(docs, text_col)
-    spans = F.array_sort(F.transform(F.concat(*(F.col(f"pii_{k.name}") for k in KINDS)), lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("least"), s["kind"].alias("kind"), s["end"].alias("end"))))
     text = F.col(text_col)
+    spans = F.array_sort(F.transform(F.concat(*(F.col(f"pii_{k.name}") for k in KINDS)), lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("least"), s["kind"].alias("kind"), s["end"].alias("end"))))
+    top = lambda block: F.coalesce(F.array_max(F.transform(block, lambda s: s["end"])), F.lit(0))
+    found = found.withColumn("_pii_spans", F.transform(_blocks(spans), lambda block: F.struct(block.alias("items"), top(block).alias("top"))))
+    blocks = F.col("_pii_spans")
 
     def step(acc: Column, s: Column) -> Column:
-        inside = s["start"] < acc["at"]
-        piece = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit("<"), F.upper(s["kind"]), F.lit(">"))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(inside, acc["out"]).otherwise(piece).alias("out"))
-
-    done = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
-    return found.withColumn(text_col, F.when(F.size(spans) > 0, done).otherwise(text)).select(*columns)
+        piece = F.struct(acc["at"].alias("from"), s["start"].alias("to"), s["kind"].alias("kind"))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] < acc["at"], acc["out"]).otherwise(F.concat(acc["out"], F.array(piece))).alias("out"))
+
+    none = F.array().cast("array<struct<from:int,to:int,kind:string>>").alias("out")
+    ahead = F.aggregate(blocks, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), lambda a, t: F.struct(F.greatest(a["at"], t["top"]).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")))["out"]
+    pieces = F.flatten(F.zip_with(blocks, ahead, lambda t, at: F.aggregate(t["items"], F.struct(at.alias("at"), none), step)["out"]))
+    found = found.withColumn("_pii_pieces", _blocks(pieces))
+
+    def written(block: Column) -> Column:
+        """Its pieces out of the part of the text that holds them all, which is cut out once."""
+        low, high = F.try_element_at(block, F.lit(1))["from"], F.try_element_at(block, F.lit(-1))["to"]
+        part = F.array(F.substring(text, low + 1, high - low))
+        joined = lambda whole: F.array_join(F.transform(block, lambda p: F.concat(F.substring(whole, p["from"] - low + 1, p["to"] - p["from"]), F.lit("<"), F.upper(p["kind"]), F.lit(">"))), "")
+        return F.element_at(F.transform(part, joined), 1)
+
+    end = F.coalesce(F.array_max(F.transform(blocks, lambda t: t["top"])), F.lit(0))
+    done = F.concat(F.array_join(F.transform("_pii_pieces", written), ""), F.substring(text, end + 1, F.length(text)))
+    return found.withColumn(text_col, F.when(end > 0, done).otherwise(text)).select(*columns)
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

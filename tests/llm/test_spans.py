@@ -93,6 +93,24 @@ def plain_secrets(text):
     return [x[2] for x in sorted(found)]
 
 
+def test_texts_of_many_spans_take_linear_time(spark):
+    import time
+
+    many = 64_000
+    text = " ".join(f"u{i % 1000}@ex.org" for i in range(many))
+    mixed = "".join(f"tel +1 (202) 555 {i % 10000:04d} at 10.0.{i % 256}.{i % 200} " for i in range(3000))
+    rows = [(1, text, "en", "s", 0), (2, mixed, "en", "s", 0)]
+    df = spark.createDataFrame(rows, DOCS)
+    begun = time.time()
+    got = {x.doc_id: x for x in pii.find_pii(df).collect()}
+    out = {x.doc_id: x.text for x in pii.redact(df).collect()}
+    assert time.time() - begun < 60
+    assert [(x.start, x.end) for x in got[1].pii_email] == [m.span() for m in re.finditer(PLAIN["email"], text)] and len(got[1].pii_email) == many
+    assert [(x.start, x.end) for x in got[2].pii_ip] == [m.span() for m in re.finditer(PLAIN["ip"], mixed)]
+    assert {x.score for x in got[2].pii_phone} == {1.0}
+    assert out[1] == " ".join(["<EMAIL>"] * many) and out[2].count("<PHONE>") == 3000 == out[2].count("<IP>")
+
+
 def test_secrets_equal_plain_patterns(spark, tmp_path):
     texts = [*random_texts(SECRET_BITS, 300, 2), None, "", "f" * 50_000, "token=" + "a" * 20_000, "password" + " " * 5_000 + "=" + "x" * 9]
     rows = {x.doc_id: x for x in secrets.op7_secrets(spark, write(spark, tmp_path, texts)).collect()}
