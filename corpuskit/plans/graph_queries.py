@@ -153,7 +153,7 @@ def recommendations(spark, d):
 
 
 def audit_moves(spark, d):
-    """Documents in ``source/language`` folders against the folders of sources, of which one is their own."""
+    """Documents in the folder of their source against the folders of all sources."""
     docs = W.documents(spark, d).withColumn("file_path", F.concat(F.lit("/w/"), "source", F.lit("/doc_"), F.col("doc_id").cast("string"), F.lit(".txt")))
     pairs = _pairs(spark, d).withColumn("folder", F.concat(F.lit("/w/"), "folder"))
     return P.audit_documents(pairs, docs)

@@ -7,11 +7,14 @@ executor costs a re-read instead of a recomputation.
 
 from __future__ import annotations
 
+import logging
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+log = logging.getLogger(__name__)
+
 _own_dir: list[str] = []
 
 
@@ -21,6 +24,7 @@ def shared_dir(spark: SparkSession) -> str:
     if named:
         return named
     if not _own_dir:
+        log.warning("spark.checkpoint.dir is unset: intermediate tables go to a folder of this machine, which a cluster cannot share")
         _own_dir.append("file://" + tempfile.mkdtemp(prefix="spark-"))
     return _own_dir[0]
 

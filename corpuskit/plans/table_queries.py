@@ -185,15 +185,19 @@ def debounced_events(spark, d):
     return I.debounce(W.file_events(spark, d), "30 minutes").select("path", F.date_format("first", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("first"), F.date_format("last", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("last"), "n_events", "is_new")
 
 
-def file_lifetimes(spark, d):
-    """All events as one batch of file events, renames leading on to other users' files: what becomes of each file."""
+def file_actions(spark, d):
+    """All events as routed file events, renames leading on to other users' files."""
     ev = W.table(spark, d, "events")
     path = F.concat(F.lit("/ws/"), F.col("user_id").cast("string"), F.lit(".txt"))
     to = F.concat(F.lit("/ws/"), ((F.col("user_id") * 7 + F.col("event_id")) % 150).cast("string"), F.lit(".txt"))
     moved = F.col("event_type") == "view"
     action = F.when(moved, "rename").when(F.col("event_type") == "signup", "create").when(F.col("event_type") == "error", "delete").otherwise("modify")
-    rows = ev.select(F.col("event_id").alias("ts"), F.when(moved, to).otherwise(path).alias("path"), F.when(moved, path).alias("old_path"), action.alias("action"))
-    found = lifetimes(rows)
+    return ev.select(F.col("event_id").alias("ts"), F.when(moved, to).otherwise(path).alias("path"), F.when(moved, path).alias("old_path"), action.alias("action"))
+
+
+def file_lifetimes(spark, d):
+    """All events as one batch: what becomes of each file."""
+    found = lifetimes(file_actions(spark, d))
     return found.select(F.col("start").alias("start_path"), F.col("born_at.ts").alias("born_id"), "born_path", "touched", F.col("path").alias("end_path"), "ended")
 
 
