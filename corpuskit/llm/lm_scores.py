@@ -163,7 +163,8 @@ def score_documents(docs: DataFrame, order: int = ORDER, id_col: str = "doc_id",
     another document holds too, times BACKOFF for each shorter step; counts
     leave out the scored document. Null, empty and blank texts have no words,
     score 0 and mean null; repeated rows count as other documents; other
-    columns are not read; an empty table gives no rows.
+    columns are not read; an empty table gives no rows. Ids are longs, null or
+    not; cast or number others before.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "lm_scores")

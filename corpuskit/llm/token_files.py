@@ -98,7 +98,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
 
     Documents are ordered by id by a range partitioning of the texts. A null
     text is empty and has the end id alone; rows with a null id come first;
-    repeated rows are written each; an empty table gives files without blocks.
+    repeated rows are written each, rows of equal ids in any order, so only their
+    places together are defined; an empty table gives files without blocks.
     The ranks cover all documents; the table has a row per id in use.
     """
     spark = docs.sparkSession
