@@ -5,6 +5,7 @@ import re
 import pytest
 
 from corpuskit.functions import constants as K
+from corpuskit.operators import placement as P
 from corpuskit.plans import graph_queries as Q, views as W
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -39,6 +40,16 @@ def test_folder_overlap_of_whole_texts(spark, long_texts):
     assert {(x.doc_id, x.folder): x.graph for x in Q.folder_overlap(spark, d).collect()} == want
 
 
+@pytest.mark.parametrize("most", [0, 2, 3])
+def test_common_terms_of_many_folders_are_counted_in_tasks(spark, long_texts, monkeypatch, most):
+    """With more terms than are broadcast, the counts of common and of other terms add up; common ones are not joined."""
+    texts, d = long_texts
+    want = {tuple(x) for x in Q.folder_overlap(spark, d).collect()}
+    monkeypatch.setattr(P, "BROADCAST_TERMS", most)
+    found = Q.folder_overlap(spark, d)
+    assert {tuple(x) for x in found.collect()} == want and ("MapInArrow" in found._jdf.queryExecution().toString()) == (most > 2)
+
+
 @pytest.fixture(scope="module")
 def many_parts(spark, tmp_path_factory):
     d = str(tmp_path_factory.mktemp("parts"))
