@@ -31,21 +31,32 @@ def lifetimes(events: DataFrame) -> DataFrame:
     have changed. A path's events are sorted in one task, on disk if need be.
     """
     scratch = Scratch(events.sparkSession, "lifetimes")
-    events = events.withColumn("at", _instant(events)).where("action <> 'rename' or old_path is null or path <> old_path").select("at", "action", "path", "old_path").distinct()
-    nothing = F.lit(None).cast("string")
-    here = events.select("path", "at", F.when(F.col("action") == "delete", "end").when(F.col("action") == "rename", "arrive").otherwise("touch").alias("kind"), F.col("old_path").alias("other"))
-    away = events.where("action = 'rename'").select(F.col("old_path").alias("path"), "at", F.lit("leave").alias("kind"), nothing.alias("other"))
-    marks = here.unionByName(away).where("path is not null")
-    cuts = (F.col("kind") != "touch").cast("long")
-    marks = marks.withColumn("n", F.sum(cuts).over(Window.partitionBy("path").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)))
-    cut = F.col("kind") != "touch"
-    begins = marks.select("path", "n", F.when(cut, F.struct("at", "kind", "other")).alias("begin"), F.when(~cut, F.col("at")).alias("touch"), F.lit(None).cast(f"struct<at: {dict(marks.dtypes)['at']}, kind: string>").alias("end"))
-    ends = marks.where(cut).select("path", (F.col("n") - 1).alias("n"), F.lit(None).cast(begins.schema["begin"].dataType).alias("begin"), F.lit(None).cast(begins.schema["touch"].dataType).alias("touch"), F.struct("at", "kind").alias("end"))
-    held = begins.unionByName(ends).groupBy("path", "n").agg(F.max("begin").alias("begin"), F.min("touch").alias("touch"), F.max("end").alias("end"))
-    held = scratch.table(held.withColumn("id", F.struct("path", "n")), "held")
+    events = events.where("action <> 'rename' or old_path is null or path <> old_path").select(_instant(events).alias("at"))
+    ends = F.when(F.col("at.action") == "rename", F.array("at.path", "at.old_path")).otherwise(F.array("at.path"))
+    marks = events.select(F.explode(ends).alias("path"), "at").where("path is not null")
+    # One sort by path and time serves all windows. Of a path's marks only cuts and the first touch after each count; equal ones are one.
+    order = Window.partitionBy("path").orderBy("at")
+    is_touch = lambda at: F.col("path").eqNullSafe(F.col(f"{at}.path")) & ~F.coalesce(F.col(f"{at}.action"), F.lit("")).isin("delete", "rename")
+    marks = marks.withColumn("before", F.lag("at").over(order)).withColumn("first", F.col("before").isNull())
+    marks = marks.where(F.col("first") | ~(F.col("before").eqNullSafe(F.col("at")) | (is_touch("at") & is_touch("before")))).drop("before").withColumn("cut", ~is_touch("at"))
+    marks = marks.withColumn("n", F.sum(F.col("cut").cast("long")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    marks = marks.withColumn("next", F.lead("at").over(order)).withColumn("after", F.lead("at", 2).over(order)).withColumn("cut_next", F.lead("cut").over(order))
+    none = F.lit(None).cast(dict(marks.dtypes)["at"])
+    row = lambda n, begin, touch, end: F.struct(n.cast("long").alias("n"), begin.alias("begin"), touch.alias("touch"), end.alias("end"))
+    from_cut = F.when(F.coalesce("cut_next", F.lit(True)), row(F.col("n"), F.col("at"), none, F.col("next"))).otherwise(row(F.col("n"), F.col("at"), F.col("next"), F.col("after")))
+    from_start = F.when(F.col("cut"), row(F.lit(0), none, none, F.col("at"))).otherwise(row(F.lit(0), none, F.col("at"), F.col("next")))
+    held = marks.select("path", F.inline(F.array_compact(F.array(F.when(F.col("first"), from_start), F.when(F.col("cut"), from_cut)))))
+    arrives = (F.col("begin.action") == "rename") & F.col("begin.path").eqNullSafe(F.col("path"))
+    leaves = (F.col("end.action") == "rename") & ~F.coalesce(F.col("end.path") == F.col("path"), F.lit(False))
+    arrived = F.when(arrives, F.col("begin"))
+    held = held.select(
+        F.struct("path", "n").alias("id"), F.when(arrives, F.col("begin.old_path")).alias("from"), arrived.alias("arrived"), F.least("touch", arrived).alias("birth"),
+        F.col("touch").isNotNull().alias("touched"), F.when(leaves, F.col("end")).alias("left"), F.col("end").isNotNull().alias("ended"), F.col("begin").isNull().alias("open"),
+    )
+    held = scratch.table(held, "held")
 
-    comes = held.where("begin.kind = 'arrive'").select("id", F.col("begin.other").alias("from"), F.col("begin.at").alias("when"))
-    goes = held.where("end.kind = 'leave'").select(F.col("path").alias("from"), F.col("end.at").alias("when"), F.col("id").alias("head"))
+    comes = held.where("arrived is not null").select("id", "from", F.col("arrived").alias("when"))
+    goes = held.where("left is not null").select(F.col("id.path").alias("from"), F.col("left").alias("when"), F.col("id").alias("head"))
     links = scratch.table(comes.join(goes, ["from", "when"]).select("id", "head"), "links0")
     for k in range(1, 64):
         back = links.select(F.col("id").alias("head"), F.col("head").alias("further"))
@@ -53,15 +64,12 @@ def lifetimes(events: DataFrame) -> DataFrame:
         if not links.where("moved").limit(1).count():
             break
         links = links.drop("moved")
-    found = held.join(links.select("id", "head"), "id", "left").withColumn("head", F.coalesce("head", "id"))
-    arrival = F.when(F.col("begin.kind") == "arrive", F.col("begin.at"))
-    birth = F.least(F.col("touch"), arrival)
-    last = F.col("end").isNull() | (F.col("end.kind") != "leave")
+    found = held.select("id", "birth", "touched", F.col("left").isNull().alias("last"), "ended", "open").join(links.select("id", "head"), "id", "left").withColumn("head", F.coalesce("head", "id"))
     files = found.groupBy("head").agg(
-        F.min(F.when(birth.isNotNull(), F.struct(birth.alias("at"), F.col("path")))).alias("born"),
-        F.max(F.col("touch").isNotNull()).alias("touched"),
-        F.max(F.when(last, F.struct("path", F.col("end").isNotNull().alias("ended")))).alias("last"),
-        F.max(F.when(F.col("id") == F.col("head"), F.col("begin").isNull() & (F.col("n") == 0))).alias("open"),
+        F.min(F.when(F.col("birth").isNotNull(), F.struct(F.col("birth").alias("at"), F.col("id.path").alias("path")))).alias("born"),
+        F.max("touched").alias("touched"),
+        F.max(F.when(F.col("last"), F.struct(F.col("id.path").alias("path"), F.col("ended").alias("ended")))).alias("last"),
+        F.max(F.when(F.col("id") == F.col("head"), F.col("open"))).alias("open"),
     )
     files = files.where("open or born is not null")  # else nothing stood there
     return files.select(F.when(F.col("open"), F.col("head.path")).alias("start"), F.col("born.at").alias("born_at"), F.col("born.path").alias("born_path"), "touched", "last.path", "last.ended")

@@ -1,6 +1,7 @@
 """The index that follows file events: any cut into batches ends alike; restarts, compaction, streams; text hooks."""
 
 import random
+import re
 
 import pytest
 
@@ -185,3 +186,11 @@ def test_text_hooks_that_fail_are_skipped(spark):
 
     got = {x.file_path: x.text for x in read_text(files, hooks_on_text=[fails, lambda t, p: t.upper()]).collect()}
     assert got == {"/a.txt": "ONE", "/b.txt": "TWO!", "/c.bin": None}
+
+
+def test_events_are_dealt_once_and_sorted_once(spark):
+    """Intervals come from one sort of the marks by path, repeated events and touches among them, not from aggregates of them all."""
+    e = [(1, "/a", None, "create"), (1, "/a", None, "create"), (2, "/a", None, "modify"), (3, "/b", "/a", "rename"), (4, "/b", None, "modify"), (5, "/a", None, "modify"), (6, "/a", None, "delete"), (7, "/c", None, "delete")]
+    found = lifetimes(spark.createDataFrame(e, "ts long, path string, old_path string, action string"))
+    assert {(x.start, x.born_at and x.born_at.ts, x.born_path, x.touched, x.path, x.ended) for x in found.collect()} == {("/a", 1, "/a", True, "/b", False), ("/b", None, None, False, "/b", True), (None, 5, "/a", True, "/a", True), ("/c", None, None, False, "/c", True)}
+    assert not {"begin", "end", "touch"} & set(re.findall(r"\w+", found._jdf.queryExecution().optimizedPlan().toString()))
