@@ -2,6 +2,8 @@
 
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from corpuskit.functions import constants as K
@@ -82,3 +84,17 @@ def test_seeds_grow_with_the_tables(spark, many_parts):
     assert {x.seed for x in Q.entity_context_edges(spark, many_parts).collect()} == {f"n{i}" for i in range(4)}
     found = {x.pair_id: x.found for x in Q.shortest_paths(spark, many_parts).collect()}
     assert found == {i: i % 4 != 3 for i in (0, 1, 2, 3, 50, 51, 52, 53, 100, 101, 102, 103)}
+
+
+def test_common_terms_are_counted_some_at_a_time(spark, long_texts, monkeypatch):
+    """However few terms a task lists at a time, counts of a document cut in between add up."""
+    texts, d = long_texts
+    want = {tuple(x) for x in Q.folder_overlap(spark, d).collect()}
+    holders = P._Holders(pa.table({"folder": ["f", "g", "f", "g"], "term": ["a", "a", "b", "c"]}), "folder")
+    listed = []
+    repeat = np.repeat
+    monkeypatch.setattr(P, "TERMS_AT_ONCE", 2)
+    monkeypatch.setattr(P.np, "repeat", lambda a, n: (listed.append(int(np.sum(n))), repeat(a, n))[1])
+    row, which, n = holders.shared(pa.array([["a", "b", "c", "x"], [], ["c"], ["a"]]))
+    assert list(zip(row.tolist(), which.tolist(), n.tolist())) == [(0, 0, 2), (0, 1, 2), (2, 1, 1), (3, 0, 1), (3, 1, 1)]
+    assert want and max(listed[1:]) <= 2
