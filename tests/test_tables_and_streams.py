@@ -96,3 +96,13 @@ def test_page_bounds(spark):
         from corpuskit.operators.graph import search_entities
 
         search_entities(None, None, 51)
+
+
+def test_sheets_are_dealt_once_by_their_document(spark):
+    """Cells that lie by document already are not dealt again, and a sheet's lines don't meet through joins."""
+    rows = [("d", "s", 0, 0, "a"), ("d", "s", 0, 1, " "), ("d", "s", 0, 2, "c"), ("d", "s", 2, 0, "1"), ("d", "s", 2, 2, "3"), ("d", "s", 1, 1, "2"), ("d", "r", 3, 0, "x"), ("e", "s", 0, 0, "only")]
+    cells = spark.createDataFrame(rows, "doc string, sheet string, row int, col int, value string").repartition("doc")
+    found = S.cells_to_text(cells)
+    assert {x.doc: x.text for x in found.collect()} == {"d": "Sheet: r\nx\nSheet: s\na  |  c\nc: 2\na: 1  |  3", "e": "Sheet: s\nonly"}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("== Initial Plan ==")[-1].count("Exchange") == 1 and "Join" not in plan
