@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from corpuskit.operators.clusters import average_linkage
+from corpuskit.operators.clusters import average_linkage, block_linkage
 
 
 def score_placement(truth: DataFrame, recommendations: DataFrame) -> DataFrame:
@@ -34,14 +34,16 @@ def scorecard(scored: DataFrame, full: int = 2) -> DataFrame:
     return scored.rollup("category").agg(F.sum("points").alias("points"), (F.count("*") * full).alias("most"))
 
 
-def calibration_grid(scenarios: DataFrame, expected: DataFrame, thresholds: list[float]) -> DataFrame:
+def calibration_grid(scenarios: DataFrame, expected: DataFrame, thresholds: list[float], points: DataFrame | None = None) -> DataFrame:
     """``(scenario, threshold, passed)``: whether average linkage finds the expected numbers of clusters and members.
 
     ``scenarios`` has (scenario, a, b, distance), ``expected`` (scenario, clusters, members).
+    With ``points`` (scenario, id, block), a and b are blocks of them, ``a = b`` too.
     """
     out = None
     for t in thresholds:
-        got = average_linkage(scenarios, t, group=["scenario"]).groupBy("scenario").agg(F.countDistinct("cluster").alias("c"), F.count("*").alias("m"))
+        linked = average_linkage(scenarios, t, group=["scenario"]) if points is None else block_linkage(points, scenarios, t, group=["scenario"])
+        got = linked.groupBy("scenario").agg(F.countDistinct("cluster").alias("c"), F.count("*").alias("m"))
         one = expected.join(got, "scenario", "left").select("scenario", F.lit(t).alias("threshold"), ((F.coalesce("c", F.lit(0)) == F.col("clusters")) & (F.coalesce("m", F.lit(0)) == F.col("members"))).alias("passed"))
         out = one if out is None else out.unionByName(one)
     return out
