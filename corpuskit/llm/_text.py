@@ -58,14 +58,15 @@ def tidy(fn: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
 
 @contextlib.contextmanager
 def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
-    """Arrow batches of few rows for the tables that are written inside: texts are long, and JVM and Python each hold a batch."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    """Batches of few rows for the tables that are written inside, from Parquet and to Python: texts are long, and JVM and Python each hold a batch."""
+    before = {k: spark.conf.get(k) for k in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize")}
+    for key, most in before.items():
+        spark.conf.set(key, str(min(rows, int(most)) if int(most) > 0 else rows))
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for key, most in before.items():
+            spark.conf.set(key, most)
 
 
 def texts(batch: pa.RecordBatch, column: str = "text") -> pa.Array:

@@ -263,7 +263,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop:
     spark = docs.sparkSession
     scratch = Scratch(spark, "positional_index")
     with small_batches(spark):
-        index = scratch.table(positional_index(docs, id_col, text_col), "index", "zstd")
+        index = scratch.table(positional_index(docs, id_col, text_col), "index", "zstd", wide=True)
     with small_batches(spark, 2):  # rows of an index are megabytes
         found = scratch.table(phrase_matches(index, items, window, slop, item_col), "matches")
     hits = found.groupBy("shard", "place").agg(

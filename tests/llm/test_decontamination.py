@@ -1,13 +1,16 @@
 """Positional matches against a search over all places."""
 
+import glob
 import hashlib
 import random
 import re
 
 import duckdb
+import pyarrow.parquet as pq
 import pytest
 
 from corpuskit.llm import decontamination as D
+from corpuskit.plans import scratch as S
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -90,6 +93,21 @@ def test_odd_rows(spark):
     assert found(spark, [], items) == [] and found(spark, docs[:1], []) == [(1, 0, [], [])]
 
 
+def test_row_groups_of_the_index_stay_small(spark, monkeypatch):
+    monkeypatch.setattr(D, "SHARD_BYTES", 20_000)
+    monkeypatch.setattr(S, "GROUP_BYTES", 200_000)
+    seen, table = [], S.Scratch.table
+    monkeypatch.setattr(S.Scratch, "table", lambda self, df, name, *a, **b: (seen.append(f"{self.root}/{name}"), table(self, df, name, *a, **b))[1])
+    rng = random.Random(6)
+    docs = [(k, " ".join(str(rng.randrange(10**6)) for _ in range(5000))) for k in range(90)]
+    rows = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    got = D.contamination(rows, spark.createDataFrame([("a", docs[7][1])], "item_id string, text string")).where("size(spans) > 0").collect()
+    assert [(r.doc_id, r.n_words) for r in got] == [(7, 5000)]
+    path = next(x for x in seen if x.endswith("/index")).removeprefix("file://")
+    groups = [m.row_group(i) for f in glob.glob(f"{path}/*.parquet") for m in [pq.read_metadata(f)] for i in range(m.num_row_groups)]
+    assert sum(g.num_rows for g in groups) == 90 and max(g.total_byte_size for g in groups) < 2 * S.GROUP_BYTES
+
+
 def test_query_and_sql(spark):
     sf = "/root/testdata/sf0.001"
     got = D.op11_decontamination(spark, sf)
