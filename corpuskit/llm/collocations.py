@@ -219,13 +219,13 @@ def transducer(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, text
     rows = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"))
     levels, ranges = [], max(4, 2 * rows.rdd.getNumPartitions())
     with small_batches(spark):
-        sent = scratch.table(_first_level(rows, ranges), "sent1", "zstd")
+        sent = scratch.table(_first_level(rows, ranges), "sent1", "zstd", wide=True)
     with small_batches(spark, 8):
         places = sent.where("range < 0")
         totals = scratch.table(places.select(F.inline(F.arrays_zip("langs", "sizes"))).groupBy(F.col("langs").alias("lang")).agg(F.sum("sizes").alias("n")), "totals")
         n = totals.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
         for k in range(1, longest + 1):
-            summed = scratch.table(_united(sent.where("range >= 0"), ranges, least), f"summed{k}", "zstd")
+            summed = scratch.table(_united(sent.where("range >= 0"), ranges, least), f"summed{k}", "zstd", wide=True)
             arcs = summed.where("shard is null")
             if k == 1:
                 arcs = arcs.select(F.inline(F.arrays_zip("state", "words", "f")))
@@ -236,7 +236,7 @@ def transducer(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, text
             if k < longest:
                 ranges = max(4, -(-n // RANGE_WORDS))
                 following = _next_level(sent.where("range < 0").select("shard", "codes"), summed.where("shard is not null").select("shard", "range", "to"), ranges, k + 1 == longest)
-                sent = scratch.table(following, f"sent{k + 1}", "zstd")
+                sent = scratch.table(following, f"sent{k + 1}", "zstd", wide=True)
                 scratch.drop(f"sent{k}")
     return levels, totals
 

@@ -1,13 +1,16 @@
 """Phrases against counts of all contiguous word runs."""
 
+import glob
 import random
 import re
 from collections import Counter
 
 import duckdb
+import pyarrow.parquet as pq
 import pytest
 
 from corpuskit.llm import collocations as C
+from corpuskit.plans import scratch as S
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 COLUMNS = ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
@@ -61,6 +64,31 @@ def test_odd_rows(spark):
     assert found(spark, []) == [] and found(spark, rows[1:4]) == []
 
 
+def test_row_groups_of_messages_stay_small(spark, monkeypatch):
+    monkeypatch.setattr(C, "SHARD_WORDS", 300)
+    monkeypatch.setattr(S, "GROUP_BYTES", 50_000)
+    groups, table = [], S.Scratch.table
+
+    def seen(self, df, name, *a, **b):
+        out = table(self, df, name, *a, **b)
+        metas = [pq.read_metadata(f) for f in glob.glob(f"{self.root.removeprefix('file://')}/{name}/*.parquet")]
+        groups.extend((name, m.row_group(i)) for m in metas for i in range(m.num_row_groups))
+        return out
+
+    monkeypatch.setattr(S.Scratch, "table", seen)
+    rng = random.Random(8)
+    rows = [(" ".join(str(rng.randrange(2000)) for _ in range(500)), "en") for _ in range(300)]
+    df = spark.createDataFrame(rows, "text string, lang string").coalesce(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")  # a shard for each ten texts
+    try:
+        got = sorted(map(tuple, C.collocations(df, 2, 3).collect()))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got and got == brute(rows, 2, 3)
+    sizes = [g.total_byte_size for name, g in groups if name.startswith(("sent", "summed"))]
+    assert sum(sizes) > 10 * S.GROUP_BYTES and max(sizes) < 2 * S.GROUP_BYTES
+
+
 def test_numbers_beyond_64_bits(spark):
     from pyspark.sql import functions as F
 
